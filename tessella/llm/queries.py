@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from . import mixing, pii, quality
+from . import htmltext, mixing, pii, quality
 
 QUERIES = {
     "op3_pii_surrogates": pii.op3_query,
     "op7_mixing": mixing.op7_query,
     "op9_quality": quality.op9_query,
+    "op10_html_text": htmltext.op10_query,
 }
 
 ORACLES = {
