@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import htmltext, mixing, pii, quality
+from . import htmltext, mixing, neardup, pii, quality
 
 QUERIES = {
+    "op2_neardup": neardup.op2_query,
     "op3_pii_surrogates": pii.op3_query,
     "op7_mixing": mixing.op7_query,
     "op9_quality": quality.op9_query,
@@ -12,5 +13,6 @@ QUERIES = {
 }
 
 ORACLES = {
+    "op2_neardup": neardup.ORACLE_SQL,
     "op7_mixing": mixing.ORACLE_SQL,
 }
