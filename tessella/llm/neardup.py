@@ -10,10 +10,10 @@ of smaller, larger and equal registers by maximum likelihood; what the estimate
 cannot rule out is verified on the full sets.
 
 Documents with equal sets are one class before anything else. Classes that
-share a band are compared with the least class of the band first; where that
-leaves a band with more than one component, the pairs across its components are
-compared too, so no link between different texts that share a band is lost, and
-no band is expanded into all its pairs.
+share a band are compared with a pivot of the band first; where that leaves a
+band with more than one component, the documents outside the largest component
+are compared with all the others, so no link between different texts that share
+a band is lost, and no band is expanded into all its pairs.
 """
 
 from __future__ import annotations
@@ -35,8 +35,12 @@ BASE, RATE, TOP = 1.001, 20.0, 65_534
 THRESHOLD = 0.8
 #: Estimates below this are ruled out: six standard errors under the threshold.
 ESTIMATE = THRESHOLD - 6 * (THRESHOLD * (1 - THRESHOLD) / M) ** 0.5
-#: Members of a group that one task compares with its leader or with another block.
+#: Documents of a cluster that one task compares with another block of it.
 BLOCK = 400
+#: Blocks that the partners of one leader are dealt to.
+DEALT = 64
+#: Rounds in which the members of a band are compared with one pivot each.
+PIVOTS = 2
 #: Words per shingle of the operator in general; the query asks for two.
 SHINGLE = 5
 
@@ -52,8 +56,8 @@ def mixed(x: np.ndarray) -> np.ndarray:
 
 @lru_cache(maxsize=1)
 def coefficients() -> tuple[np.ndarray, np.ndarray]:
-    seed = mixed(np.arange(1, 2 * M + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
-    return seed[:M] | np.uint64(1), seed[M:]
+    seed = (mixed(np.arange(1, 2 * M + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(32)).astype(np.uint32)
+    return seed[:M] | np.uint32(1), seed[M:]
 
 
 @lru_cache(maxsize=200_000)
@@ -82,21 +86,19 @@ def shingle_hashes(text: str | None, k: int) -> np.ndarray:
 def minima(x: np.ndarray) -> np.ndarray:
     """The least value of each of M hash functions over the set x, in chunks of bounded memory."""
     a, c = coefficients()
-    low = np.full(M, np.iinfo(np.uint64).max, np.uint64)
-    for i in range(0, len(x), 512):
-        y = x[i : i + 512, None] * a
+    low = np.full(M, np.iinfo(np.uint32).max, np.uint32)
+    short = (x >> np.uint64(32)).astype(np.uint32)
+    for i in range(0, len(x), 256):
+        y = short[i : i + 256, None] * a
         y += c
-        y ^= y >> np.uint64(32)
         np.minimum(low, y.min(axis=0), out=low)
     return low
 
 
 def registers(low: np.ndarray) -> np.ndarray:
-    """SetSketch registers of minima of uniform 64-bit hashes."""
-    u = (low.astype(np.float64) + 0.5) / 2.0**64
-    with np.errstate(divide="ignore"):
-        h = -np.log1p(-u) / RATE
-        k = np.floor(1.0 - np.log(h) / np.log(BASE))
+    """SetSketch registers of minima of uniform 32-bit hashes."""
+    u = (low.astype(np.float64) + 0.5) / 2.0**32
+    k = np.floor(1.0 - np.log(-np.log1p(-u) / RATE) / np.log(BASE))
     return np.clip(k, 0, TOP).astype("<u2")
 
 
@@ -105,29 +107,46 @@ def merge(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.maximum(a, b)
 
 
-def estimate(a: np.ndarray, b: np.ndarray, na: np.ndarray, nb: np.ndarray) -> np.ndarray:
-    """Maximum-likelihood similarity of each pair of rows, given the sets' sizes.
+def counts(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    gt, lt = (a > b).sum(-1).astype(float), (a < b).sum(-1).astype(float)
+    return gt, lt, a.shape[-1] - gt - lt
+
+
+def slope(j, gt, lt, eq, na, nb) -> np.ndarray:
+    """Derivative of the joint log-likelihood of the registers at similarity j.
 
-    a, b: (pairs, M) registers. The log-likelihood
-    n_gt log p(u - v J) + n_lt log p(v - u J) + n_eq log(1 - the two) is concave
-    in J; its maximum is found by bisecting the derivative.
+    The log-likelihood n_gt log p(u - v J) + n_lt log p(v - u J) +
+    n_eq log(1 - the two) is concave in J.
     """
-    gt, lt = (a > b).sum(-1).astype(float), (a < b).sum(-1).astype(float)
-    eq = a.shape[-1] - gt - lt
-    na, nb = np.maximum(na, 1).astype(float), np.maximum(nb, 1).astype(float)
     u, v = na / (na + nb), nb / (na + nb)
     s, ln = (BASE - 1) / BASE, np.log(BASE)
-    lo, hi = np.zeros_like(u), np.minimum(u / v, v / u)
-    for _ in range(30):
+    x, y = np.maximum(u - v * j, 1e-12), np.maximum(v - u * j, 1e-12)
+    p, q = -np.log1p(-s * x) / ln, -np.log1p(-s * y) / ln
+    dp, dq = -v * s / (1 - s * x) / ln, -u * s / (1 - s * y) / ln
+    return gt * dp / np.maximum(p, 1e-300) + lt * dq / np.maximum(q, 1e-300) - eq * (dp + dq) / np.maximum(1 - p - q, 1e-300)
+
+
+def sizes(n) -> np.ndarray:
+    return np.maximum(np.asarray(n), 1).astype(float)
+
+
+def estimate(a: np.ndarray, b: np.ndarray, na, nb) -> np.ndarray:
+    """Maximum-likelihood similarity of each pair of rows of registers, by bisection."""
+    c, na, nb = counts(a, b), sizes(na), sizes(nb)
+    lo, hi = np.zeros(len(na)), np.minimum(na / nb, nb / na)
+    for _ in range(40):
         j = (lo + hi) / 2
-        x, y = np.maximum(u - v * j, 1e-12), np.maximum(v - u * j, 1e-12)
-        p, q = -np.log1p(-s * x) / ln, -np.log1p(-s * y) / ln
-        dp, dq = -v * s / (1 - s * x) / ln, -u * s / (1 - s * y) / ln
-        slope = gt * dp / np.maximum(p, 1e-300) + lt * dq / np.maximum(q, 1e-300) - eq * (dp + dq) / np.maximum(1 - p - q, 1e-300)
-        lo, hi = np.where(slope > 0, j, lo), np.where(slope > 0, hi, j)
+        up = slope(j, *c, na, nb) > 0
+        lo, hi = np.where(up, j, lo), np.where(up, hi, j)
     return (lo + hi) / 2
 
 
+def plausible(a: np.ndarray, b: np.ndarray, na, nb) -> np.ndarray:
+    """Whether the estimate reaches ESTIMATE: the likelihood still rises there."""
+    na, nb = sizes(na), sizes(nb)
+    return (np.minimum(na / nb, nb / na) >= ESTIMATE) & (slope(ESTIMATE, *counts(a, b), na, nb) >= 0)
+
+
 def sketch(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
     """doc_id, n_shingles, set_key, registers of every row; key and registers are null for an empty set."""
 
@@ -172,66 +191,103 @@ def similar(a: set, b: set, percent: int) -> bool:
     return 100 * both >= percent * (len(a) + len(b) - both)
 
 
+def stacked(column) -> np.ndarray:
+    return np.frombuffer(b"".join(column), "<u2").reshape(len(column), M)
+
+
+def grouped(parts, keys: list[str]):
+    """Frames of whole groups: of each batch of rows sorted by keys, all but the
+    last group, which waits for the next batch; with the groups' first rows."""
+    kept = None
+    for p in parts:
+        p = p if kept is None else pd.concat([kept, p], ignore_index=True)
+        new = np.ones(len(p), bool)
+        new[1:] = (p[keys].to_numpy()[1:] != p[keys].to_numpy()[:-1]).any(axis=1)
+        first = np.flatnonzero(new)
+        if len(first):
+            kept = p.iloc[first[-1] :].reset_index(drop=True)
+            if first[-1]:
+                yield p.iloc[: first[-1]], first
+    if kept is not None and len(kept):
+        yield kept, np.array([0, len(kept)])
+
+
 def verified(pairs: DataFrame, table: DataFrame, shingle: int, percent: int) -> DataFrame:
     """The pairs (a, b) whose full sets are similar. table: id, text, n, registers.
 
-    Pairs are grouped by a and a block of its partners, so a leader of very many
-    partners is spread over tasks; each row of text travels once per pair.
+    Partners of an a are dealt to blocks, so a leader of very many partners is
+    spread over tasks; a row of text travels once per pair.
     """
-    block = F.pmod(F.xxhash64("b"), F.greatest(F.lit(1), F.ceil(F.col("n_b") / BLOCK)))
-    sized = pairs.join(pairs.groupBy("a").agg(F.count(F.lit(1)).alias("n_b")), "a").select("a", "b", block.alias("block"))
-    ends = sized.select(F.col("b").alias("id"), "a", "block", F.lit(1).alias("role")).unionByName(sized.select(F.col("a").alias("id"), "a", "block", F.lit(0).alias("role")).distinct())
+    ends = pairs.select(F.col("b").alias("id"), "a", F.pmod(F.xxhash64("b"), F.lit(DEALT)).cast("int").alias("block"), F.lit(1).alias("role"))
+    ends = ends.unionByName(ends.select(F.col("a").alias("id"), "a", "block", F.lit(0).alias("role")).distinct())
     rows = ends.join(table, "id").select("a", "block", "role", "id", "text", "n", "registers")
+    rows = rows.repartition("a", "block").sortWithinPartitions("a", "block", "role", "id")
 
-    def run(g: pd.DataFrame) -> pd.DataFrame:
-        lead, rest = g[g["role"] == 0], g[g["role"] == 1]
-        out = []
-        for la in lead.itertuples():
-            if not len(rest):
-                break
-            regs = np.frombuffer(b"".join(rest["registers"]), "<u2").reshape(len(rest), M)
-            mine = np.broadcast_to(np.frombuffer(la.registers, "<u2"), regs.shape)
-            likely = estimate(mine, regs, np.full(len(rest), la.n), rest["n"].to_numpy()) >= ESTIMATE
-            s = shingle_set(la.text, shingle)
-            out += [i for i, t in zip(rest["id"][likely], rest["text"][likely], strict=True) if similar(s, shingle_set(t, shingle), percent)]
-        return pd.DataFrame({"a": g["a"].iloc[0], "b": pd.Series(out, dtype="int64")})
-
-    return rows.groupBy("a", "block").applyInPandas(run, "a long, b long").distinct()
-
-
-def crossing(members: DataFrame) -> DataFrame:
-    """Candidate pairs (a, b) across the components of each band.
-
-    members: band, id, comp, n, registers, leader. Bands are cut into blocks and
-    every two blocks of a band meet in a task; pairs are emitted only between
-    different components, if neither is the band's leader (those were compared)
-    and their estimate does not rule them out.
+    def run(parts):
+        lead_key, leads = None, []
+        for p in parts:
+            out = []
+            regs, n = stacked(p["registers"]), p["n"].to_numpy()
+            for i, (a, block, role, x, text) in enumerate(zip(p["a"], p["block"], p["role"], p["id"], p["text"], strict=True)):
+                if (a, block) != lead_key:
+                    lead_key, leads = (a, block), []
+                if role == 0:
+                    leads.append((regs[i].copy(), n[i], text, []))
+                    continue
+                mine = None
+                for r, m, t, s in leads:
+                    if plausible(r[None], regs[i][None], m, n[i])[0]:
+                        s = s if s else s.append(shingle_set(t, shingle)) or s
+                        mine = shingle_set(text, shingle) if mine is None else mine
+                        if similar(s[0], mine, percent):
+                            out.append((a, x))
+                            break
+            yield pd.DataFrame(out, columns=["a", "b"], dtype="int64")
+
+    return rows.mapInPandas(run, "a long, b long").distinct()
+
+
+def residual(members: DataFrame, table: DataFrame, shingle: int, percent: int) -> DataFrame:
+    """The links (a, b) between components that still share a band.
+
+    members: band, id, comp. Documents that are joined by bands form a cluster;
+    in each, those outside its largest component are compared with all the
+    others, block by block. A task holds one block of either side, compares
+    registers first and full sets then, and emits links only.
     """
-    count = members.groupBy("band").agg(F.count(F.lit(1)).alias("size"))
-    blocks = F.ceil(F.col("size") / (2 * BLOCK)).cast("int")
-    m = members.join(count, "band").withColumn("blocks", blocks).withColumn("mine", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
-    m = m.select("*", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
-    m = m.withColumn("i", F.least("mine", "other")).withColumn("j", F.greatest("mine", "other"))
-
-    def run(g: pd.DataFrame) -> pd.DataFrame:
-        g = g.drop_duplicates("id")
-        i, j = int(g["i"].iloc[0]), int(g["j"].iloc[0])
-        g = g[g["id"] != g["leader"]].sort_values("id")
-        left, right = (g, g) if i == j else (g[g["mine"] == i], g[g["mine"] == j])
-        pairs: list[np.ndarray] = []
-        if len(left) and len(right):
-            rr = np.frombuffer(b"".join(right["registers"]), "<u2").reshape(len(right), M)
-            rid, rc, rn = right["id"].to_numpy(), right["comp"].to_numpy(), right["n"].to_numpy()
-            for x in left.itertuples():
-                ok = np.flatnonzero((rc != x.comp) & ((rid > x.id) if i == j else True))
-                if len(ok):
-                    mine = np.broadcast_to(np.frombuffer(x.registers, "<u2"), (len(ok), M))
-                    ok = ok[estimate(mine, rr[ok], np.full(len(ok), x.n), rn[ok]) >= ESTIMATE]
-                    pairs.append(np.stack([np.minimum(x.id, rid[ok]), np.maximum(x.id, rid[ok])], 1))
-        p = np.concatenate(pairs) if pairs else np.empty((0, 2), np.int64)
-        return pd.DataFrame({"a": p[:, 0], "b": p[:, 1]}).astype("int64")
-
-    return m.groupBy("band", "i", "j").applyInPandas(run, "a long, b long").distinct()
+    lead = members.groupBy("band").agg(F.min("id").alias("lead"))
+    cluster = connected_components(members.join(lead, "band").select(F.col("id").alias("a"), F.col("lead").alias("b")))
+    one = members.select("id", "comp").distinct().join(cluster.select(F.col("node").alias("id"), F.col("component").alias("cluster")), "id")
+    size = one.groupBy("cluster", "comp").agg(F.count(F.lit(1)).alias("n")).groupBy("cluster").agg(F.sum("n").alias("all"), F.max(F.struct("n", "comp")).alias("big"))
+    one = cut(one.join(size, "cluster").withColumn("out", F.col("comp") != F.col("big.comp")))
+    tb, qb = F.ceil(F.col("all") / BLOCK).cast("int"), F.ceil((F.col("all") - F.col("big.n")) / BLOCK).cast("int")
+    span = lambda n: F.explode(F.sequence(F.lit(0), n - 1))
+    mine = lambda n: F.pmod(F.xxhash64("id"), n).cast("int")
+    columns = ["id", "comp", "cluster", "out"]
+    targets = one.select(*columns, F.lit(1).alias("role"), mine(tb).alias("tb"), span(qb).alias("qb"))
+    queries = one.where("out").select(*columns, F.lit(0).alias("role"), mine(qb).alias("qb"), span(tb).alias("tb")).select(*targets.columns)
+    keys = ["cluster", "tb", "qb"]
+    rows = targets.unionByName(queries).join(table, "id").repartition(*keys).sortWithinPartitions(*keys, "role", "id")
+
+    def run(parts):
+        for p, first in grouped(parts, keys):
+            regs, ids, comp, n = stacked(p["registers"]), p["id"].to_numpy(), p["comp"].to_numpy(), p["n"].to_numpy()
+            role, aside, text = p["role"].to_numpy(), p["out"].to_numpy(), p["text"].to_numpy()
+            out = []
+            for lo, hi in zip(first[:-1], first[1:], strict=True):
+                mid = lo + int((role[lo:hi] == 0).sum())
+                sets: dict[int, set] = {}
+                for x in range(lo, mid):
+                    y = np.arange(mid, hi)
+                    y = y[(comp[y] != comp[x]) & (~aside[y] | (ids[y] > ids[x]))]
+                    y = y[plausible(regs[x][None], regs[y], n[x], n[y])] if len(y) else y
+                    for k in (x, *y) if len(y) else ():
+                        if k not in sets:
+                            sets[k] = shingle_set(text[k], shingle)
+                    out += [(ids[x], ids[k]) for k in y if similar(sets[x], sets[k], percent)]
+            yield pd.DataFrame(out, columns=["a", "b"], dtype="int64")
+
+    return rows.mapInPandas(run, "a long, b long").distinct()
 
 
 def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, percent: int = 80) -> DataFrame:
@@ -252,20 +308,30 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, percent: int = 80)
     classes = cut(classes)
     same = usable.select("doc_id", "set_key").join(classes.select("set_key", "id"), "set_key").where("doc_id <> id").select(F.col("doc_id").alias("a"), F.col("id").alias("b"))
     bands = banded(classes)
-    shared = bands.groupBy("band").agg(F.count(F.lit(1)).alias("size"), F.min("id").alias("leader")).where("size > 1").select("band", "leader")
+    shared = bands.groupBy("band").agg(F.count(F.lit(1)).alias("size")).where("size > 1").select("band")
     members = cut(bands.join(shared, "band"))
-    first = cut(members.where("id <> leader").select(F.col("leader").alias("a"), F.col("id").alias("b")).distinct())
     active = members.select("id").distinct()
-    texts = docs.withColumnRenamed("doc_id", "id").join(active, "id", "left_semi")
-    table = cut(texts.join(classes.groupBy("id").agg(F.first("registers").alias("registers"), F.first("n").alias("n")), "id"))
-    links = cut(verified(first, table, shingle, percent))
-    found = cut(connected_components(links))
-    # bands that still hold more than one component
-    known = members.join(found.select(F.col("node").alias("id"), F.col("component").alias("comp")), "id", "left").select("band", "id", "leader", F.coalesce("comp", "id").alias("comp"))
-    split = known.groupBy("band").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("band")
-    open_ = cut(known.join(split, "band", "left_semi").join(table.select("id", "n", "registers").dropDuplicates(["id"]), "id"))
-    second = cut(crossing(open_).join(first, ["a", "b"], "left_anti"))
-    links = links.unionByName(verified(second, table, shingle, percent)) if not second.isEmpty() else links
+    sketches = classes.groupBy("id").agg(F.first("registers").alias("registers"), F.first("n").alias("n"))
+    table = cut(docs.withColumnRenamed("doc_id", "id").join(active.join(sketches, "id"), "id"))
+    links, done = None, None
+    open_ = members.withColumn("comp", F.col("id"))
+    for turn in range(PIVOTS):
+        # every band's members against one pivot, the same in all bands it is in
+        pivot = F.min_by(F.struct("id", "comp"), F.struct(F.xxhash64("id", F.lit(turn)), "id")).alias("p")
+        pairs = open_.join(open_.groupBy("band").agg(pivot), "band").where(F.col("comp") != F.col("p.comp"))
+        pairs = pairs.select(F.least("id", "p.id").alias("x"), F.greatest("id", "p.id").alias("y"), F.col("p.id").alias("a"), F.col("id").alias("b")).groupBy("x", "y").agg(F.min("a").alias("a"), F.max_by("b", F.lit(0) - F.col("a")).alias("b"))
+        pairs = cut(pairs if done is None else pairs.join(done, ["x", "y"], "left_anti"))
+        done = pairs.select("x", "y") if done is None else done.unionByName(pairs.select("x", "y"))
+        new = cut(verified(pairs.select("a", "b"), table, shingle, percent))
+        links = new if links is None else links.unionByName(new)
+        found = connected_components(links)
+        known = members.join(found.select(F.col("node").alias("id"), F.col("component").alias("comp")), "id", "left").withColumn("comp", F.coalesce("comp", "id"))
+        split = known.groupBy("band").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("band")
+        open_ = cut(known.join(split, "band", "left_semi"))
+        if open_.isEmpty():
+            break
+    else:
+        links = links.unionByName(cut(residual(open_, table, shingle, percent)))
     component = connected_components(same.unionByName(links)).withColumnRenamed("node", "c_id")
     out = rows.join(component, F.col("doc_id") == F.col("c_id"), "left")
     comp = F.coalesce("component", "doc_id")
