@@ -77,14 +77,15 @@ def base_counts(docs: DataFrame) -> DataFrame:
 
 
 def ngram_buckets(text: Column, buckets: int = BUCKETS) -> Column:
-    """The buckets of a text's token unigrams and bigrams, from 0."""
+    """The buckets of a text's token unigrams and bigrams, from 0; the first
+    bigram is that of the first token with the start of the text."""
     tokens = F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(TOKEN), F.lit(0))
+    cell = lambda x: F.pmod(x, F.lit(buckets)).cast("int")
 
-    def hashed(h: Column) -> Column:
-        return F.transform(h, lambda x, i: F.array(x, F.when(i > 0, F.xxhash64(F.get(h, i - 1), x))))
+    def both(h: Column) -> Column:
+        return F.concat(F.transform(h, cell), F.transform(h, lambda x, i: cell(F.xxhash64(F.get(h, i - 1), x))))
 
-    both = F.flatten(let(F.transform(tokens, lambda t: F.xxhash64(t)), hashed))
-    return F.transform(F.filter(both, lambda x: x.isNotNull()), lambda x: F.pmod(x, F.lit(buckets)).cast("int"))
+    return let(F.transform(tokens, lambda t: F.xxhash64(t)), both)
 
 
 def bucket_counts(docs: DataFrame, buckets: int) -> dict[int, int]:
