@@ -2,17 +2,22 @@
 
 from __future__ import annotations
 
-from . import htmltext, mixing, neardup, pii, quality
+from . import embeddings, htmltext, mixing, neardup, packing, pii, quality, substrings
 
 QUERIES = {
     "op2_neardup": neardup.op2_query,
     "op3_pii_surrogates": pii.op3_query,
+    "op4_units": substrings.op4_query,
+    "op5_packing": packing.op5_query,
     "op7_mixing": mixing.op7_query,
+    "op8_vectors": embeddings.op8_query,
     "op9_quality": quality.op9_query,
     "op10_html_text": htmltext.op10_query,
 }
 
 ORACLES = {
     "op2_neardup": neardup.ORACLE_SQL,
+    "op4_units": substrings.ORACLE_SQL,
+    "op8_vectors": embeddings.ORACLE_SQL,
     "op7_mixing": mixing.ORACLE_SQL,
 }
