@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import embeddings, htmltext, mixing, neardup, packing, pii, quality, substrings
+from . import embeddings, htmltext, mixing, neardup, packing, pii, quality, substrings, toxicity
 
 QUERIES = {
+    "op1_toxicity": toxicity.op1_query,
     "op2_neardup": neardup.op2_query,
     "op3_pii_surrogates": pii.op3_query,
     "op4_units": substrings.op4_query,
