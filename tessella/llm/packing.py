@@ -17,6 +17,7 @@ among the pieces of their length, found from counts per partition.
 
 from __future__ import annotations
 
+import re
 import zlib
 from functools import lru_cache
 
@@ -34,8 +35,10 @@ WINDOW = 4096
 GRID = 256
 END_ID = 2
 TOKENIZER = "word_bpe_49k.json"
-#: Distinct words whose ids a worker remembers.
-REMEMBERED = 150_000
+END = np.array([END_ID], "<u4").tobytes()
+#: Pieces of text whose ids a worker remembers, in each of two generations.
+REMEMBERED = 200_000
+STOP = re.compile(rb"(?<=[a-z])([.,;:!?#$%&*()+=~/-]+)(?=[\x20\x09-\x0D]|\Z)")
 
 
 @lru_cache(maxsize=2)
@@ -44,24 +47,63 @@ def tokenizer(path: str) -> Tokenizer:
 
 
 class Encoder:
-    """Ids of whole texts. The tokenizer treats words between ASCII white space one
-    by one, so ids are kept by word; the memory is dropped when it is full."""
+    """Ids of whole texts, end token included.
+
+    The tokenizer lower-cases, and treats runs of letters between ASCII white
+    space or before closing punctuation one by one, so ids are remembered by
+    such pieces, in two generations of bounded size. Unknown pieces made of
+    letters alone are encoded together and told apart by the tokens that end a
+    word; the others are encoded one by one.
+    """
 
     def __init__(self, path: str):
-        self.tok, self.ids = tokenizer(path), {}
-
-    def __call__(self, text: str | None) -> np.ndarray:
-        w = (text or "").encode("utf-8", "replace").split()
-        known = self.ids
-        new = [x for x in dict.fromkeys(w) if x not in known]
-        if len(known) + len(new) > REMEMBERED:
-            known.clear()
-            new = list(dict.fromkeys(w))
-        for i in range(0, len(new), 4096):
-            part = new[i : i + 4096]
-            for x, e in zip(part, self.tok.encode_batch_fast([y.decode() for y in part], add_special_tokens=False), strict=True):
-                known[x] = np.array(e.ids, "<u4").tobytes()
-        return np.frombuffer(b"".join([known[x] for x in w]) + np.array([END_ID], "<u4").tobytes(), "<u4")
+        self.tok, self.new, self.old = tokenizer(path), {}, {}
+        vocabulary = self.tok.get_vocab()
+        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.ends[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
+
+    def learn(self, missing: list[bytes]) -> None:
+        if len(self.new) + len(missing) > REMEMBERED:
+            self.old, self.new = self.new, {}
+        unknown = []
+        for w in missing:
+            ids = self.old.get(w)
+            if ids is None:
+                unknown.append(w)
+            else:
+                self.new[w] = ids
+        plain, other = [], []
+        for w in unknown:
+            s = w.decode()
+            (plain if s.isalpha() else other).append((w, s))
+        for i in range(0, len(plain), 2000):
+            part = plain[i : i + 2000]
+            ids = np.array(self.tok.encode_batch_fast([" ".join([s for _, s in part])], add_special_tokens=False)[0].ids, "<u4")
+            stop = (np.flatnonzero(self.ends[ids]) + 1) * 4
+            if len(stop) != len(part):
+                other += part
+                continue
+            raw, at = ids.tobytes(), 0
+            for (w, _), e in zip(part, stop.tolist(), strict=True):
+                self.new[w] = raw[at:e]
+                at = e
+        if other:
+            for (w, _), e in zip(other, self.tok.encode_batch_fast([s for _, s in other], add_special_tokens=False), strict=True):
+                self.new[w] = np.array(e.ids, "<u4").tobytes()
+
+    def __call__(self, texts) -> list[np.ndarray]:
+        words = [STOP.sub(rb" \1", (t or "").encode("utf-8", "replace").lower()).split() for t in texts]
+        found = [list(map(self.new.get, w)) for w in words]
+        missing = dict.fromkeys(x for w, ids in zip(words, found, strict=True) if None in ids for x, y in zip(w, ids, strict=True) if y is None)
+        if missing:
+            self.learn(list(missing))
+        out, get = [], self.new.get
+        for w, ids in zip(words, found, strict=True):
+            if None in ids:
+                ids = [get(x) if y is None else y for x, y in zip(w, ids, strict=True)]
+            ids.append(END)
+            out.append(np.frombuffer(b"".join(ids), "<u4"))
+        return out
 
 
 def crc(ids: np.ndarray) -> int:
@@ -180,10 +222,9 @@ def encoded(docs: DataFrame, path: str, window: int) -> DataFrame:
     def run(parts):
         enc = Encoder(path)
         for p in parts:
-            for i in range(0, len(p), 200):
-                out = []
-                for r, d, t in zip(p["row_id"][i : i + 200], p["doc_id"][i : i + 200], p["text"][i : i + 200], strict=True):
-                    ids = enc(t)
+            for i in range(0, len(p), 64):
+                out, q = [], p.iloc[i : i + 64]
+                for r, d, ids in zip(q["row_id"], q["doc_id"], enc(q["text"]), strict=True):
                     d = None if pd.isna(d) else int(d)
                     out += [(r, d, s, len(x), crc(x), len(ids)) for s in range(0, len(ids), window) for x in (ids[s : s + window],)]
                 frame = pd.DataFrame(out, columns=[c.split()[0] for c in PIECE.split(", ")])
@@ -300,7 +341,7 @@ def recut(split: DataFrame, keyed: DataFrame, path: str, window: int, edges: lis
         for p in parts:
             out = []
             for x in p.itertuples():
-                ids = enc(x.text)[x.start : x.start + x.length]
+                ids = enc([x.text])[0][x.start : x.start + x.length]
                 done = 0
                 while done < len(ids):
                     at = x.at + done
