@@ -20,15 +20,17 @@ from pyspark.sql import functions as F
 
 from .shared import connected_components, cut
 
-TREES = 8
+TREES = 4
 #: Half width of the band around a split whose vectors go both ways; unit vectors with
 #: cosine 0.95 are 0.316 apart, and 0.04 of that, times sqrt(64 / dimensions), falls along a random direction.
-SPILL = 0.03
+SPILL = 0.02
 #: Vectors that the trees are fitted on, at most; and sample vectors in a leaf, at most.
 SAMPLE, LEAF = 20_000, 100
 #: Vectors of one leaf that a task holds at once from either side.
 BLOCK = 1_200
 COSINE = 0.95
+#: Vectors routed at once by a task.
+ROUTED = 500
 
 
 def unit(vectors: np.ndarray) -> np.ndarray:
@@ -110,9 +112,7 @@ def routed(reps: DataFrame, forest: list[Tree]) -> DataFrame:
     def run(parts):
         trees = bc.value
         base = np.concatenate([[0], np.cumsum([t.leaves for t in trees])])
-        for p in parts:
-            if not len(p):
-                continue
+        for p in (q.iloc[i : i + ROUTED] for q in parts for i in range(0, len(q), ROUTED)):
             v = unit(np.stack(p["v"].to_numpy()))
             own: list[list[int]] = [[] for _ in range(len(p))]
             hits = []
@@ -127,7 +127,7 @@ def routed(reps: DataFrame, forest: list[Tree]) -> DataFrame:
             at = np.concatenate([r for _, r in hits])
             yield pd.DataFrame({"leaf": np.repeat([c for c, _ in hits], [len(r) for _, r in hits]), "v_id": p["v_id"].to_numpy()[at], "copies": p["copies"].to_numpy()[at], "v": p["v"].to_numpy()[at], "leaves": leaves[at]})
 
-    return reps.mapInPandas(run, f"leaf long, v_id long, copies long, v {dict(reps.dtypes)['v']}, leaves array<long>")
+    return reps.mapInPandas(run, f"leaf long, v_id long, copies long, v {dict(reps.dtypes)['v']}, leaves array<int>")
 
 
 def shares_earlier(a: list, b: list, leaf: int, codes: dict) -> tuple[np.ndarray, np.ndarray]:
