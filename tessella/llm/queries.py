@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import embeddings, htmltext, mixing, neardup, packing, pii, quality, substrings, toxicity
+from . import embeddings, htmltext, mixing, neardup, packing, pii, quality, substrings, suffixes, toxicity
 
 QUERIES = {
     "op1_toxicity": toxicity.op1_query,
@@ -10,6 +10,7 @@ QUERIES = {
     "op3_pii_surrogates": pii.op3_query,
     "op4_units": substrings.op4_query,
     "op5_packing": packing.op5_query,
+    "op6_suffixes": suffixes.op6_query,
     "op7_mixing": mixing.op7_query,
     "op8_vectors": embeddings.op8_query,
     "op9_quality": quality.op9_query,
