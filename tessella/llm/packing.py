@@ -222,13 +222,14 @@ def encoded(docs: DataFrame, path: str, window: int) -> DataFrame:
     def run(parts):
         enc = Encoder(path)
         for p in parts:
+            out = []
             for i in range(0, len(p), 64):
-                out, q = [], p.iloc[i : i + 64]
+                q = p.iloc[i : i + 64]
                 for r, d, ids in zip(q["row_id"], q["doc_id"], enc(q["text"]), strict=True):
                     d = None if pd.isna(d) else int(d)
                     out += [(r, d, s, len(x), crc(x), len(ids)) for s in range(0, len(ids), window) for x in (ids[s : s + window],)]
-                frame = pd.DataFrame(out, columns=[c.split()[0] for c in PIECE.split(", ")])
-                yield frame.assign(doc_id=frame["doc_id"].astype("Int64"))
+            frame = pd.DataFrame(out, columns=[c.split()[0] for c in PIECE.split(", ")])
+            yield frame.assign(doc_id=frame["doc_id"].astype("Int64"))
 
     return docs.mapInPandas(run, PIECE)
 
