@@ -312,19 +312,21 @@ def repeated(contexts: list[tuple[int, int, bytes]], length: int = LENGTH, seed:
     n = np.maximum(0, size - length + 1)
     of = np.repeat(np.arange(len(contexts)), n)
     at = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-    key = np.stack([group[of], lead[of] - at, cls[starts[of] + at]], 1)
-    order = np.lexsort(key.T)
-    k = key[order]
-    same = (k[1:] == k[:-1]).all(1)
+    # one number for seed, distance and class
+    span, kinds = int(lead.max(initial=0)) + length, int(cls.max(initial=0)) + 1
+    key = (group[of] * span + (lead[of] - at + length)) * kinds + cls[starts[of] + at]
+    order = np.argsort(key)
+    same = key[order[1:]] == key[order[:-1]]
     hit = np.zeros(len(key), bool)
     hit[order[1:][same]] = True
     hit[order[:-1][same]] = True
     out: list[list[tuple[int, int]]] = [[] for _ in contexts]
-    for i, a in zip(of[hit].tolist(), at[hit].tolist(), strict=True):
-        if out[i] and a <= out[i][-1][1]:
-            out[i][-1] = (out[i][-1][0], a + length)
-        else:
-            out[i].append((a, a + length))
+    of, at = of[hit], at[hit]
+    if len(of):
+        new = np.r_[True, (of[1:] != of[:-1]) | (at[1:] - at[:-1] > length)]
+        last = np.r_[new[1:], True]
+        for i, a, b in zip(of[new].tolist(), at[new].tolist(), (at[last] + length).tolist(), strict=True):
+            out[i].append((a, b))
     return out
 
 
