@@ -235,7 +235,7 @@ def extract_text(pages: DataFrame) -> DataFrame:
     def run(parts):
         for p in parts:
             text = [extract(h) for h in p["html"]]
-            yield pd.DataFrame({"page_id": p["page_id"].astype("Int64"), "url": p["url"], "text": text, "n_chars": [len(t) for t in text]})
+            yield pd.DataFrame({"page_id": p["page_id"].astype("Int64"), "url": p["url"].astype(object), "text": pd.Series(text, dtype=object), "n_chars": [len(t) for t in text]})
 
     kind = dict(pages.dtypes)["page_id"]
     return pages.select("page_id", "url", "html").mapInPandas(run, f"page_id {kind}, url string, text string, n_chars long")
