@@ -129,7 +129,7 @@ class Restorer:
     """Undoes disguises; remembers the readings of a bounded number of spans."""
 
     def __init__(self, model: np.ndarray):
-        self.read = lru_cache(maxsize=50_000)(lambda span: decode(span, model))
+        self.read = lru_cache(maxsize=20_000)(lambda span: decode(span, model))
 
     def words(self, text: str | None) -> tuple[set[str], int]:
         """The distinct restored words of a text, and how many spans were read anew."""
@@ -173,7 +173,7 @@ def counted(docs: DataFrame, restorer: np.ndarray, only=None) -> dict[str, tuple
         bad, all_ = Counter(), Counter()
 
         def flush():
-            out = pd.DataFrame({"f": list(all_), "bad": [bad[k] for k in all_], "n": list(all_.values())})
+            out = pd.DataFrame({"f": pd.Series(list(all_), dtype=object), "bad": [bad[k] for k in all_], "n": list(all_.values())})
             bad.clear()
             all_.clear()
             return out
@@ -185,9 +185,10 @@ def counted(docs: DataFrame, restorer: np.ndarray, only=None) -> dict[str, tuple
                 all_.update(f)
                 if toxic:
                     bad.update(f)
-            if len(all_) > 300_000:
+            if len(all_) > 60_000:
                 yield flush()
-        yield flush()
+        if all_:
+            yield flush()
 
     got = docs.select("text", "toxic").mapInPandas(run, "f string, bad long, n long").groupBy("f").agg(F.sum("bad").alias("bad"), F.sum("n").alias("n"))
     return {r["f"]: (r["bad"], r["n"]) for r in got.where(F.col("bad") >= LEAST_COUNT).collect()}
@@ -258,7 +259,7 @@ def fit(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED) ->
         r, at = Restorer(lm.value), where.value
         for p in parts:
             found = [sorted(at[f] for f in features(r.words(t)[0]) if f in at) for t in p["text"]]
-            yield pd.DataFrame({"key": p["key"], "toxic": p["toxic"], "at": found})
+            yield pd.DataFrame({"key": p["key"].astype(object), "toxic": p["toxic"], "at": found})
 
     got = sorted(rows.mapInPandas(active, "key string, toxic boolean, at array<int>").collect(), key=lambda r: r["key"])
     w, b = logistic([np.array(r["at"], int) for r in got], np.array([float(r["toxic"]) for r in got]), len(chosen))
@@ -279,8 +280,11 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
         m = bc.value
         if "restorer" not in m.__dict__:
             m.restorer = Restorer(m.language)
-        got = [m.restorer.words(t) for t in text]
-        return pd.DataFrame({"score": [m.score(w) for w, _ in got], "n_restored": [n for _, n in got]})
+        out = []
+        for t in text:  # one text's words at a time
+            w, n = m.restorer.words(t)
+            out.append((m.score(w), n))
+        return pd.DataFrame(out, columns=["score", "n_restored"]).astype({"score": "float64", "n_restored": "int64"})
 
     out = docs.withColumn("t_scored", scored("text"))
     columns = [c for c in docs.columns if c not in ("score", "predicted", "n_restored")]
