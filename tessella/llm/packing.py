@@ -38,7 +38,11 @@ TOKENIZER = "word_bpe_49k.json"
 END = np.array([END_ID], "<u4").tobytes()
 #: Pieces of text whose ids a worker remembers, in each of two generations.
 REMEMBERED = 200_000
-STOP = re.compile(rb"(?<=[a-z])([.,;:!?#$%&*()+=~/-]+)(?=[\x20\x09-\x0D]|\Z)")
+#: Closing punctuation after a letter of ASCII or Latin-1 (without the signs of multiplication and division).
+PUNCTUATION = rb"[.,;:!?#$%&*()+=~/-]"
+STOP = re.compile(rb"(%b(?:(?<=[a-z].)|(?<=\xC3[\x80-\x96\x98-\xB6\xB8-\xBF].))%b*)(?=[\x20\x09-\x0D]|\Z)" % (PUNCTUATION, PUNCTUATION))
+#: A special token, which the tokenizer takes out of a text before all else.
+BETWEEN = "<|endoftext|>"
 
 
 @lru_cache(maxsize=2)
@@ -51,9 +55,10 @@ class Encoder:
 
     The tokenizer lower-cases, and treats runs of letters between ASCII white
     space or before closing punctuation one by one, so ids are remembered by
-    such pieces, in two generations of bounded size. Unknown pieces made of
-    letters alone are encoded together and told apart by the tokens that end a
-    word; the others are encoded one by one.
+    such pieces, in two generations of bounded size. Unknown pieces are encoded
+    together: those made of letters alone are told apart by the tokens that end
+    a word, the others by a special token between them. Texts that may hold a
+    special token themselves are encoded as they are.
     """
 
     def __init__(self, path: str):
@@ -61,6 +66,7 @@ class Encoder:
         vocabulary = self.tok.get_vocab()
         self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
         self.ends[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
+        self.between = vocabulary[BETWEEN]
 
     def learn(self, missing: list[bytes]) -> None:
         if len(self.new) + len(missing) > REMEMBERED:
@@ -77,29 +83,38 @@ class Encoder:
             s = w.decode()
             (plain if s.isalpha() else other).append((w, s))
         for i in range(0, len(plain), 2000):
-            part = plain[i : i + 2000]
-            ids = np.array(self.tok.encode_batch_fast([" ".join([s for _, s in part])], add_special_tokens=False)[0].ids, "<u4")
-            stop = (np.flatnonzero(self.ends[ids]) + 1) * 4
-            if len(stop) != len(part):
-                other += part
-                continue
-            raw, at = ids.tobytes(), 0
-            for (w, _), e in zip(part, stop.tolist(), strict=True):
-                self.new[w] = raw[at:e]
-                at = e
-        if other:
-            for (w, _), e in zip(other, self.tok.encode_batch_fast([s for _, s in other], add_special_tokens=False), strict=True):
+            other += self.learn_joined(plain[i : i + 2000], " ", False)
+        alone = []
+        for i in range(0, len(other), 2000):
+            alone += self.learn_joined(other[i : i + 2000], BETWEEN, True)
+        if alone:
+            for (w, _), e in zip(alone, self.tok.encode_batch_fast([s for _, s in alone], add_special_tokens=False), strict=True):
                 self.new[w] = np.array(e.ids, "<u4").tobytes()
 
+    def learn_joined(self, part: list[tuple[bytes, str]], by: str, special: bool) -> list[tuple[bytes, str]]:
+        """Encode pieces as one text; if its ids can't be told apart, return all of them."""
+        ids = np.array(self.tok.encode_batch_fast([by.join([s for _, s in part] + [""] * special)], add_special_tokens=False)[0].ids, "<u4")
+        stop = np.flatnonzero(ids == self.between if special else self.ends[ids]) * 4
+        if len(stop) != len(part):
+            return part
+        raw, at, skip = ids.tobytes(), 0, 4 * special
+        for (w, _), e in zip(part, (stop + 4 - skip).tolist(), strict=True):
+            self.new[w] = raw[at:e]
+            at = e + skip
+        return []
+
     def __call__(self, texts) -> list[np.ndarray]:
-        words = [STOP.sub(rb" \1", (t or "").encode("utf-8", "replace").lower()).split() for t in texts]
+        texts = [t or "" for t in texts]
+        words = [[] if "<|" in t else STOP.sub(rb" \1", t.encode("utf-8", "replace").lower()).split() for t in texts]
         found = [list(map(self.new.get, w)) for w in words]
         missing = dict.fromkeys(x for w, ids in zip(words, found, strict=True) if None in ids for x, y in zip(w, ids, strict=True) if y is None)
         if missing:
             self.learn(list(missing))
         out, get = [], self.new.get
-        for w, ids in zip(words, found, strict=True):
-            if None in ids:
+        for t, w, ids in zip(texts, words, found, strict=True):
+            if "<|" in t:
+                ids = [np.array(self.tok.encode(t.encode("utf-8", "replace").decode(), add_special_tokens=False).ids, "<u4").tobytes()]
+            elif None in ids:
                 ids = [get(x) if y is None else y for x, y in zip(w, ids, strict=True)]
             ids.append(END)
             out.append(np.frombuffer(b"".join(ids), "<u4"))
