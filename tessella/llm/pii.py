@@ -34,6 +34,8 @@ from .shared import cut, let
 KEY = "tessella"
 #: Entities whose attempt number is carried as a literal; more are joined.
 MAX_LITERAL = 5_000
+#: Distinct entities whose surrogates one task computes.
+PER_TASK = 100_000
 
 # Forms of address by gender, and syllables by script.
 MALE = ("Mr", "Mister", "Sir", "Herr", "Monsieur", "Señor", "Sr", "Don", "господин", "г-н", "κύριος", "κ")
@@ -204,10 +206,12 @@ def attempts(found: DataFrame, key: str = KEY, max_rounds: int = 20) -> DataFram
     round, of the entities that share a surrogate the first keeps it and the
     others, as well as those whose surrogate is a real entity, count up.
     """
+    tasks = max(found.sparkSession.sparkContext.defaultParallelism, found.count() // PER_TASK + 1)
     real = found.select(F.col("kind").alias("r_kind"), F.col("norm").alias("r_norm"))
     now = found.withColumn("attempt", F.lit(0))
     for _ in range(max_rounds):
-        now = cut(now.withColumn("s", normal(surrogate(F.col("e"), F.col("kind"), F.col("attempt"), key), F.col("kind"))))
+        # few bytes, much work: dealt by hand, since small shuffles are otherwise merged into one task
+        now = cut(now.repartition(tasks, "kind", "norm").withColumn("s", normal(surrogate(F.col("e"), F.col("kind"), F.col("attempt"), key), F.col("kind"))))
         first = now.groupBy("kind", "s").agg(F.min(F.struct("attempt", "norm")).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1")
         twice = now.join(first, ["kind", "s"]).where((F.col("first.attempt") != F.col("attempt")) | (F.col("first.norm") != F.col("norm"))).select("kind", "norm")
         taken = now.join(real, (F.col("kind") == F.col("r_kind")) & (F.col("s") == F.col("r_norm"))).select("kind", "norm")
