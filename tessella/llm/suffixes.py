@@ -22,14 +22,14 @@ import tempfile
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .shared import cut
 
 LENGTH, SEED = 200, 40
-#: Bytes scanned at once, bytes of a shard sorted at once, and bytes of a queue held in memory.
-CHUNK, SHARD, HELD = 1 << 20, 4 << 20, 8 << 20
+#: Bytes scanned at once, bytes of a shard sorted at once, bytes of a queue held in memory, and bytes compared at once.
+CHUNK, SHARD, HELD, COMPARED = 1 << 20, 4 << 20, 8 << 20, 1 << 20
 LOW = (1 << 22) - 1
 
 
@@ -232,12 +232,13 @@ def ranked(s: np.ndarray, depth: int) -> np.ndarray:
         after = np.zeros(n, np.int64)
         after[: n - k] = rank[k:] + 1 if k < n else 0
         key = rank * (n + 2) + after
-        order = np.argsort(key, kind="stable")
-        new = np.empty(n, np.int64)
-        new[order] = np.cumsum(np.r_[False, key[order][1:] != key[order][:-1]])
-        rank, k = new, k * 2
-        if rank.max(initial=0) == n - 1 or k >= depth or k >= n:
-            return np.argsort(rank, kind="stable")
+        order = np.argsort(key)
+        key = key[order]
+        name = np.cumsum(np.r_[False, key[1:] != key[:-1]])
+        rank, k = np.empty(n, np.int64), k * 2
+        rank[order] = name
+        if name[-1] == n - 1 or k >= depth or k >= n:
+            return order
 
 
 def suffix_array(s: np.ndarray, signs: int, depth: int = LENGTH) -> np.ndarray:
@@ -275,6 +276,29 @@ def hashed(s: np.ndarray):
     return lambda lo, hi: scrambled((sums[hi] - sums[lo]) * power[lo])
 
 
+def alike(s: np.ndarray, a: np.ndarray, b: np.ndarray, length: int) -> np.ndarray:
+    """Whether the length signs from a equal those from b, sign by sign. Neighbours
+    in the text mostly have neighbours as partners: such runs are compared once."""
+    out = np.zeros(len(a), bool)
+    by = np.argsort(a)
+    a, b = a[by], b[by]
+    heads = np.flatnonzero(np.r_[True, (a[1:] != a[:-1] + 1) | (b[1:] != b[:-1] + 1)]) if len(a) else by
+    sizes = np.diff(np.r_[heads, len(a)])
+    spans = sizes + length - 1
+    past = np.cumsum(spans)
+    lo = 0
+    while lo < len(heads):
+        hi = max(lo + 1, int(np.searchsorted(past, past[lo] - spans[lo] + COMPARED, "right")))
+        n, first = spans[lo:hi], heads[lo:hi]
+        offset = np.cumsum(n) - n
+        step = np.arange(n.sum()) - np.repeat(offset, n)
+        wrong = np.r_[0, np.cumsum(s[np.repeat(a[first], n) + step] != s[np.repeat(b[first], n) + step])]
+        at = np.repeat(offset, sizes[lo:hi]) + np.arange(sizes[lo:hi].sum()) - np.repeat(first - first[0], sizes[lo:hi])
+        out[by[first[0] : first[0] + len(at)]] = wrong[at + length] == wrong[at]
+        lo = hi
+    return out
+
+
 def classes(parts: list[bytes], length: int = LENGTH) -> tuple[np.ndarray, np.ndarray]:
     """(class, start of each part in the joined text): for each place the class of
     the length-byte string that starts there, -1 where it leaves its part."""
@@ -292,11 +316,8 @@ def classes(parts: list[bytes], length: int = LENGTH) -> tuple[np.ndarray, np.nd
     roll = hashed(s)
     h = roll(order, order + length)
     same = np.r_[False, h[1:] == h[:-1]]
-    # exact: the common prefix of neighbours that agree in their hashes
     at = np.flatnonzero(same)
-    for lo in range(0, len(at), 50_000):
-        k = at[lo : lo + 50_000]
-        same[k] = (s[order[k][:, None] + np.arange(length)] == s[order[k - 1][:, None] + np.arange(length)]).all(1)
+    same[at] = alike(s, order[at], order[at - 1], length)
     out = np.full(len(s), -1, np.int64)
     out[order] = np.cumsum(~same)
     return out, starts
@@ -352,8 +373,7 @@ def dedup_substrings(docs: DataFrame) -> DataFrame:
     keyed = docs.select("doc_id", "text", F.xxhash64("doc_id", "text").alias("key"))
     seeds = cut(seeds_of(keyed))
     kinds = seeds.groupBy("seed", "context").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("key", "pos")).alias("rep"))
-    open_ = kinds.groupBy("seed").agg(F.sum("n").alias("all"), F.count(F.lit(1)).alias("kinds")).where("`all` > 1")
-    kinds = cut(kinds.join(open_.select("seed", "kinds"), "seed").where("n > 1 or kinds > 1"))
+    kinds = cut(kinds.withColumn("kinds", F.count(F.lit(1)).over(Window.partitionBy("seed"))).where("n > 1 or kinds > 1"))
     whole = seeds.join(kinds.where("n > 1").select("seed", "context"), ["seed", "context"]).select("key", "pos")
     # surroundings that differ from others of their seed go to a shard
     reps = kinds.where("kinds > 1").select("seed", "n", F.col("rep.key").alias("key"), F.col("rep.pos").alias("pos"))
@@ -361,10 +381,15 @@ def dedup_substrings(docs: DataFrame) -> DataFrame:
     once = keyed.select("key", "text").join(wanted, "key")
 
     def fetch(parts):
+        last = None
         for p in parts:
             for i in range(0, len(p), 64):
                 out = []
                 for key, text, at in zip(p["key"][i : i + 64], p["text"][i : i + 64], p["at"][i : i + 64], strict=True):
+                    # the join brings equal rows in a run; of what is left of them the shard keeps one
+                    if key == last:
+                        continue
+                    last = key
                     t = (text or "").encode("utf-8", "replace")
                     for r in at:
                         a, b = around(r["pos"], 0, len(t))
@@ -372,11 +397,11 @@ def dedup_substrings(docs: DataFrame) -> DataFrame:
                 yield pd.DataFrame(out, columns=["seed", "key", "pos", "n", "start", "around"])
 
     schema = "seed long, key long, pos int, n long, start long, around binary"
-    shards = once.mapInPandas(fetch, schema).dropDuplicates(["seed", "key", "pos"]).repartition("seed").sortWithinPartitions("seed")
+    shards = once.mapInPandas(fetch, schema).repartition("seed").sortWithinPartitions("seed", "key", "pos")
 
     def sort(parts):
         lot: list[tuple] = []
-        size, last = 0, None
+        size, last = 0, (None,)
 
         def flush():
             spans = repeated([(x[0], x[2] - x[4], bytes(x[5])) for x in lot])
@@ -385,12 +410,14 @@ def dedup_substrings(docs: DataFrame) -> DataFrame:
 
         for p in parts:
             for x in p.itertuples(index=False, name=None):
-                if x[0] != last and size > SHARD:
+                if x[:3] == last:
+                    continue
+                if x[0] != last[0] and size > SHARD:
                     yield flush()
                     lot, size = [], 0
                 lot.append(x)
                 size += len(x[5])
-                last = x[0]
+                last = x[:3]
         if lot:
             yield flush()
 
