@@ -25,7 +25,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import cut
+from .shared import cut, discard
 
 LENGTH, SEED = 200, 40
 #: Bytes scanned at once, bytes of a shard sorted at once, bytes of a queue held in memory, and bytes compared at once.
@@ -373,6 +373,8 @@ def dedup_substrings(docs: DataFrame) -> DataFrame:
     keyed = docs.select("doc_id", "text", F.xxhash64("doc_id", "text").alias("key"))
     seeds = cut(seeds_of(keyed))
     kinds = seeds.groupBy("seed", "context").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("key", "pos")).alias("rep"))
+    # only surroundings that occur twice are looked up again by their hash
+    kinds = kinds.withColumn("context", F.when(F.col("n") > 1, F.col("context")))
     kinds = cut(kinds.withColumn("kinds", F.count(F.lit(1)).over(Window.partitionBy("seed"))).where("n > 1 or kinds > 1"))
     whole = seeds.join(kinds.where("n > 1").select("seed", "context"), ["seed", "context"]).select("key", "pos")
     # surroundings that differ from others of their seed go to a shard
@@ -422,8 +424,9 @@ def dedup_substrings(docs: DataFrame) -> DataFrame:
             yield flush()
 
     ranges = shards.mapInPandas(sort, "key long, a long, b long").groupBy("key").agg(F.collect_list(F.struct("a", "b")).alias("ranges"))
-    places = whole.distinct().groupBy("key").agg(F.collect_list("pos").alias("places"))
+    places = whole.groupBy("key").agg(F.collect_set("pos").alias("places"))
     marks = cut(places.join(ranges, "key", "full"))
+    discard(seeds, kinds)
     rows = keyed.join(marks, "key", "left").select("doc_id", "text", "places", "ranges")
 
     def remove(parts):
