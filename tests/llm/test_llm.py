@@ -1,6 +1,7 @@
 """Small tables with nulls, empty texts, ties, repeated rows and clashing columns, against brute force."""
 
 import hashlib
+import os
 import re
 import zlib
 from collections import Counter
@@ -8,7 +9,7 @@ from collections import Counter
 import numpy as np
 import pytest
 
-from tessella.llm import embeddings, htmltext, mixing, neardup, packing, pii, quality, substrings, suffixes, toxicity
+from tessella.llm import embeddings, htmltext, mixing, neardup, packing, pii, quality, shared, substrings, suffixes, toxicity
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, rank string, score double"
 LONG = " ".join(f"w{i % 97}" for i in range(9000))
@@ -207,3 +208,23 @@ def test_toxicity(spark):
     assert np.mean([got[i].predicted == (i % 4 == 0) for i in held]) > 0.9
     assert got[999].predicted == got[998].predicted == 0
     assert toxicity.decode("stuuuupid", model.language) == "stupid" and toxicity.decode("s t u p i d", model.language) == "stupid"
+
+
+def test_alike(monkeypatch):
+    rng = np.random.default_rng(3)
+    s = np.tile(rng.integers(0, 3, 40), 8)
+    s[rng.integers(0, len(s), 6)] = 9
+    a = rng.permutation(len(s) - 12)[:200]
+    b = (a + 40 * rng.integers(0, 3, 200)) % (len(s) - 12)
+    want = [(s[i : i + 12] == s[j : j + 12]).all() for i, j in zip(a, b)]
+    for compared in (1, 30, 1 << 20):
+        monkeypatch.setattr(suffixes, "COMPARED", compared)
+        assert suffixes.alike(s, a, b, 12).tolist() == want
+    assert len(suffixes.alike(s, a[:0], b[:0], 12)) == 0
+
+
+def test_discard(spark):
+    a, b = (shared.cut(spark.range(n)) for n in (5, 0))
+    shared.discard(a)
+    assert b.count() == 0 and not any(os.path.exists(f.removeprefix("file://")) for f in a.inputFiles())
+    shared.discard(b)
