@@ -106,25 +106,38 @@ def takes(docs: DataFrame, weights=WEIGHTS, max_repeat: int = MAX_REPEAT, per_bu
     return rows.select("doc_id", "source", "size", "rank", "source_size", "weight", "target", "done", "whole", "part", (F.col("whole") * F.col("size") + F.col("part")).alias("taken"))
 
 
-def curriculum(docs: DataFrame, slopes: dict | None = None, weights=WEIGHTS, max_repeat: int = MAX_REPEAT, per_bucket: int = PER_BUCKET) -> DataFrame:
-    """One row per document copy that the mix takes: doc_id, source, size, rank,
-    repeat (from 0), n_words (of the copy), position in [0, 1].
+def placed(docs: DataFrame, slopes: dict | None = None, weights=WEIGHTS, max_repeat: int = MAX_REPEAT, per_bucket: int = PER_BUCKET) -> DataFrame:
+    """takes() and copies: of each document, in order of repeat, an array of
+    (repeat from 0, n_words of the copy, position in [0, 1]); empty if none is taken.
 
     slopes gives a source's slope in [-1, 1]; by default heavier sources lean to
     the end of training: -0.5, 0, 0.5 for the weights 1, 2, 3. Documents without
     words are never taken.
     """
-    t = takes(docs, weights, max_repeat, per_bucket).where("taken > 0")
+    t = takes(docs, weights, max_repeat, per_bucket)
     slope = F.lit(0.0)
     for w, s in zip(weights, (-0.5, 0.0, 0.5), strict=False):
         slope = F.when(F.col("weight") == float(w), F.lit(s)).otherwise(slope)
     for name, s in (slopes or {}).items():
         slope = F.when(F.col("source") == name, F.lit(float(s))).otherwise(slope)
+    t = t.withColumn("slope", slope)
     copies = F.col("whole").cast("int") + (F.col("part") > 0).cast("int")
-    t = t.select("*", F.explode(F.sequence(F.lit(0), copies - 1)).alias("repeat"))
-    n = F.when(F.col("repeat") < F.col("whole"), F.col("size")).otherwise(F.col("part"))
-    at = F.col("repeat") * F.col("source_size") + F.col("done") + n / F.lit(2.0)
-    return t.select("doc_id", "source", "size", "rank", "repeat", n.alias("n_words"), position(at, F.col("target"), slope).alias("position"))
+
+    def copy(repeat: Column) -> Column:
+        n = F.when(repeat < F.col("whole"), F.col("size")).otherwise(F.col("part"))
+        at = repeat * F.col("source_size") + F.col("done") + n / F.lit(2.0)
+        return F.struct(repeat.alias("repeat"), n.alias("n_words"), position(at, F.col("target"), F.col("slope")).alias("position"))
+
+    some = F.when((F.col("taken") > 0) & (copies > 0), F.sequence(F.lit(0), copies - 1)).otherwise(F.array().cast("array<int>"))
+    return t.withColumn("copies", F.transform(some, copy)).drop("slope")
+
+
+def curriculum(docs: DataFrame, slopes: dict | None = None, weights=WEIGHTS, max_repeat: int = MAX_REPEAT, per_bucket: int = PER_BUCKET) -> DataFrame:
+    """One row per document copy that the mix takes: doc_id, source, size, rank,
+    repeat (from 0), n_words (of the copy), position in [0, 1]; options as in placed().
+    """
+    t = placed(docs, slopes, weights, max_repeat, per_bucket)
+    return t.select("doc_id", "source", "size", "rank", F.explode("copies").alias("c")).select("doc_id", "source", "size", "rank", "c.repeat", "c.n_words", "c.position")
 
 
 def mix(docs: DataFrame, **options) -> DataFrame:
@@ -177,6 +190,23 @@ from r
 """
 
 
+def read(spark, sf_dir: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "source")
+
+
+def ordered(docs: DataFrame, **options) -> DataFrame:
+    """One row per document, in the order in which training first meets them;
+    taken sums the words of the document's copies, documents never taken come last."""
+    t = placed(docs, **options)
+    first = F.array_min(F.transform("copies", lambda c: c["position"]))
+    taken = F.aggregate("copies", F.lit(0).cast("long"), lambda n, c: n + c["n_words"])
+    return t.orderBy(first.asc_nulls_last(), "doc_id").select("doc_id", "size", "source_size", F.round("target", 3).alias("target"), taken.alias("taken"))
+
+
 def op7_query(spark, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "source")
-    return takes(docs).select("doc_id", "size", "source_size", F.round("target", 3).alias("target"), "taken")
+    return ordered(read(spark, sf_dir))
+
+
+def op7_curriculum_query(spark, sf_dir: str) -> DataFrame:
+    """All copies in training order, with their positions."""
+    return curriculum(read(spark, sf_dir)).orderBy("position", "doc_id", "repeat").select("doc_id", "source", "repeat", "n_words", "position")

@@ -12,6 +12,7 @@ QUERIES = {
     "op5_packing": packing.op5_query,
     "op6_suffixes": suffixes.op6_query,
     "op7_mixing": mixing.op7_query,
+    "op7_curriculum": mixing.op7_curriculum_query,
     "op8_vectors": embeddings.op8_query,
     "op9_quality": quality.op9_query,
     "op10_html_text": htmltext.op10_query,

@@ -106,6 +106,29 @@ def test_mixing(docs):
     assert mixing.takes(docs.limit(0)).count() == 0 and mixing.mix(docs).columns == docs.columns
 
 
+def test_mixing_order(spark, tmp_path):
+    d = spark.createDataFrame([(i, "w " * (1 + i % 7), "abc"[i % 3]) for i in range(120)], "doc_id long, text string, source string")
+    d.write.parquet(f"{tmp_path}/documents.parquet")
+    slopes = {"a": -0.5, "b": 0.0, "c": 0.5}
+    want, first = [], {}
+    for t in mixing.takes(d).collect():
+        for k in range(t.whole + (t.part > 0)):
+            n = t["size"] if k < t.whole else t.part
+            y, lo, hi = (k * t.source_size + t.done + n / 2) / t.target, 0.0, 1.0
+            for _ in range(60):  # invert the integral of 1 + s (2t - 1) by bisection
+                m = (lo + hi) / 2
+                lo, hi = (m, hi) if m + slopes[t.source] * (m * m - m) < y else (lo, m)
+            want.append((lo, t.doc_id, k, n))
+            first[t.doc_id] = min(first.get(t.doc_id, 2.0), lo)
+    got = mixing.op7_curriculum_query(spark, str(tmp_path)).collect()
+    assert [(r.doc_id, r.repeat, r.n_words) for r in got] == [x[1:] for x in sorted(want)]
+    assert [r.position for r in got] == pytest.approx([x[0] for x in sorted(want)])
+    rows = mixing.op7_query(spark, str(tmp_path)).collect()
+    assert [r.doc_id for r in rows] == sorted((r.doc_id for r in rows), key=lambda i: (first.get(i, 2.0), i))
+    assert {r.doc_id: r.taken for r in rows} == {r.doc_id: r.taken for r in mixing.takes(d).collect()}
+    assert [r.doc_id for r in mixing.ordered(d, slopes={"a": 1.0}).collect()] != [r.doc_id for r in rows]
+
+
 def test_pii(docs):
     got = by_id(pii.redact(docs))
     assert got[7].pii_count == 3 and re.fullmatch(r"call \+1 \(\d{3}\) \d{3}-\d{4} or mail [a-z]\.[a-z]@[a-z]\.example\.com, Mr\. \w+ \w+", got[7].text)
