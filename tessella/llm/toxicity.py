@@ -1,9 +1,9 @@
 """Toxicity of texts that may be disguised: a noisy channel undoes the disguise,
 then the restored text is scored.
 
-Disguised spans (digits and symbols for letters, spaced-out letters, letters
-repeated three times and more) become lattices of the characters that each sign
-may stand for. A Viterbi search finds the most likely reading under a character
+Disguised spans (every word with a sign beside a letter, runs of single
+characters, letters repeated three times and more) become lattices of the
+characters that each sign may stand for; separators may also end a word. A Viterbi search finds the most likely reading under a character
 trigram model that is counted over all documents. The restored text is scored
 by a logistic model over words and word beginnings, fitted on labelled rows.
 """
@@ -29,6 +29,8 @@ OTHER = 63
 STANDS_FOR = {"0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "gb", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "i", "|": "il", "+": "t", "€": "e", "£": "l", "(": "c", "<": "c"}
 #: Costs of the channel in nats: a sign for a letter, a dropped separator, a dropped sign, a run cut to one or two.
 COST_SIGN, COST_GAP, COST_DROP, COST_RUN = 0.7, 0.3, 6.0, 0.4
+#: A single separator that ends a word, in nats.
+COST_WORD = 2.0
 
 #: Labelled rows that the model is fitted on, at most: those with the smallest hash of their id.
 MAX_LABELLED = 40_000
@@ -36,10 +38,20 @@ MAX_LABELLED = 40_000
 MAX_FEATURES, LEAST_G, LEAST_COUNT = 20_000, 25.0, 6
 
 SIGNS = re.escape("".join(STANDS_FOR))
+LETTER = r"[^\W\d_]"
 WORD = re.compile(r"\S+")
-SUSPECT = re.compile(rf"[^\W\d_][^\s]*[{SIGNS}]+[^\s]*[^\W\d_]|[{SIGNS}]+[^\W\d_]{{2,}}|([^\W\d_])\1\1")
-SPACED = re.compile(rf"(?<!\S)(?:[^\W_{SIGNS}]|[{SIGNS}])(?:[ .\-_*](?:[^\W_{SIGNS}]|[{SIGNS}])){{3,}}(?!\S)")
+#: Signs that are ordinary punctuation at the ends of a word.
+PUNCTUATION = "!|(<"
+#: Words for the lattice: a sign beside a letter, or only signs that are no amount; and letters three times and more.
+MIXED = re.compile(rf"{LETTER}[{SIGNS}]|[{SIGNS}]{LETTER}|^(?![$€£]?[\d.,]+[$€£+]?$)(?=.*[@$])[{SIGNS}]{{3,}}$", re.S)
+TRIPLE = re.compile(rf"({LETTER})\1\1")
+#: Two and more single characters between separators, with punctuation before and after them.
+SPACED = re.compile(rf"""(?<![^\s(\[{{"'«“‘¿¡<])(?:[^\W_]|[{SIGNS}])(?:(?:\s++[.\-_*]?\s*+|[.\-_*]\s*+)(?:[^\W_]|[{SIGNS}]))+(?=[^\w\s]*(?:\s|$))""")
+READABLE = re.compile(rf"{LETTER}|[@$]")
+SPACES = re.compile(r"\s+")
 EDGES = re.compile(r"^[\W_]+|[\W_]+$")
+#: What is cut from a word's ends before the lattice: what is neither letter, digit nor sign.
+PLAIN_EDGES = re.compile(rf"^(?:(?![{SIGNS}])[\W_])+|(?:(?![{SIGNS}])[\W_])+$")
 RUN = re.compile(r"(.)\1*", re.S)
 
 
@@ -93,17 +105,22 @@ def language_model(counts: dict[int, int]) -> np.ndarray:
 
 
 def lattice(span: str) -> list[list[tuple[str, float]]]:
-    """For each run of equal signs of a span, the readings (letters, cost)."""
+    """For each run of equal signs of a span, the readings (letters, cost).
+
+    A separator is nothing or the end of a word, two white spaces rather the
+    latter; punctuation at the span's ends may be just that.
+    """
     out = []
     for m in RUN.finditer(span):
         c, n = m.group(1), len(m.group())
         if c.isspace() or c in ".-_*":
-            out.append([("", COST_GAP)])
+            out.append([("", COST_GAP), (" ", COST_GAP if c.isspace() and n > 1 else COST_WORD)])
         elif c.isalpha():
             out.append([(c * n, 0.0)] if n < 3 else [(c, COST_RUN), (c * 2, COST_RUN)])
         else:
-            reads = [(x * k, COST_SIGN) for x in STANDS_FOR.get(c, "") for k in ((1,) if n == 1 else (1, 2))]
-            out.append([*reads, ("", COST_DROP)] if reads else [("", COST_DROP)])
+            reads = [(x * k, COST_SIGN) for x in STANDS_FOR.get(c, "") for k in ((n,) if n < 3 else (1, 2))]
+            edge = c in PUNCTUATION and (m.start() == 0 or m.end() == len(span))
+            out.append([*reads, ("", COST_GAP if edge else COST_DROP)] if reads else [("", COST_DROP)])
     return out
 
 
@@ -132,20 +149,29 @@ class Restorer:
         self.read = lru_cache(maxsize=20_000)(lambda span: decode(span, model))
 
     def words(self, text: str | None) -> tuple[set[str], int]:
-        """The distinct restored words of a text, and how many spans were read anew."""
+        """The distinct restored words of a text, and how many of its spans have another reading than their own."""
         low = (text or "").lower()
-        spaced = [self.read(m.group()) for m in SPACED.finditer(low)]
-        out, n = set(spaced), len(spaced)
+        out, n = set(), 0
+        for m in SPACED.finditer(low):
+            if READABLE.search(m.group()):
+                out.update(self.read(SPACES.sub(lambda x: " " if len(x.group()) == 1 else "  ", m.group())).split())
+                n += 1
+        triples = TRIPLE.search(low) is not None
         for w in set(low.split()):
+            if w.isalpha():
+                out.add(w)
+                if triples and TRIPLE.search(w):
+                    out.add(self.read(w))
+                    n += 1
+                continue
             bare = EDGES.sub("", w)
             if bare:
                 out.add(bare)
-            if SUSPECT.search(w):
-                # trailing punctuation is no letter unless the word ends in a lone sign
-                core = w if w[-1:] in STANDS_FOR and (len(w) < 2 or w[-2] != w[-1]) and w[-1:] not in "!|(<" else w.rstrip("!?.,;:#*$%&|<>()")
-                if core:
-                    out.add(self.read(core))
-                    n += 1
+            core = PLAIN_EDGES.sub("", w)
+            if core and (MIXED.search(core) or triples and TRIPLE.search(core)):
+                read = self.read(core)
+                out.update(read.split())
+                n += read != bare
         return out, n
 
 

@@ -233,6 +233,19 @@ def test_toxicity(spark):
     assert toxicity.decode("stuuuupid", model.language) == "stupid" and toxicity.decode("s t u p i d", model.language) == "stupid"
 
 
+def test_disguises(spark):
+    clean = "you idiot are such a stupid person and this ass is shit for the old moving stone by the river in a garden. " * 30
+    docs = spark.createDataFrame([(i, clean) for i in range(5)], "doc_id long, text string")
+    r = toxicity.Restorer(toxicity.language_model(toxicity.trigram_counts(docs)))
+    for text, want in {
+        "idi07": "idiot", "1d107": "idiot", "5h17": "shit", "a$$": "ass", "4$$": "ass", "1di0t!": "idiot", "(5h1t)": "shit",
+        "i d i o t,": "idiot", "i d i o t.": "idiot", "(i d i o t)": "idiot", "a s s": "ass", "s  h  i  t": "shit", "i\td\ti\to\tt": "idiot",
+        "a s t u p i d person": "a stupid person", "y o u i d i o t": "you idiot", "y o u  i d i o t!": "you idiot", "s.t.u.p.i.d": "stupid", "s-h-1-t": "shit",
+    }.items():
+        assert set(want.split()) <= r.words(text)[0], text
+    assert r.words("you! (person) 1,000 $100 3 4 5") == ({"you", "person", "1,000", "100", "3", "4", "5"}, 0)
+
+
 def test_alike(monkeypatch):
     rng = np.random.default_rng(3)
     s = np.tile(rng.integers(0, 3, 40), 8)
