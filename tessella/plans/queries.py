@@ -108,6 +108,11 @@ def sides(s, d):
     return T.sources(normal(s, d))
 
 
+def raw_sides(s, d):
+    """Both sides with all scripts kept, for what compares scripts."""
+    return T.sources(X.normalize(T.records(s, d, folded=False)))
+
+
 def cands(s, d) -> DataFrame:
     q, t = sides(s, d)
     return C.union({"exact_name": B.exact_names(q, t), "address": B.by_pin_number(q, t), "rare_token": B.rare_tokens(q, t)})
@@ -220,13 +225,18 @@ for _name, _f, _sql in (
     ("block_knn", lambda q, t: B.char_retrieval(q, t, k=10, least=0.5), None),
     ("block_recip", lambda q, t: B.char_retrieval(q, t, reverse=1), None),
     ("block_word", lambda q, t: B.word_retrieval(q, t), None),
-    ("block_translit", lambda q, t: B.translit_names(q, t), None),
-    ("block_xscript_addr", lambda q, t: B.cross_script_address(q, t), None),
     ("legacy_candidates", lambda q, t: B.legacy_candidates(q, t), None),
 ):
     query(_name, f"select s1_id, cand_id from {_sql}" if _sql else None)(lambda s, d, f=_f: pairs_only(f(*sides(s, d))))
 
 
+query("block_translit")(lambda s, d: pairs_only(B.translit_names(*raw_sides(s, d))))
+query("block_xscript_addr")(lambda s, d: pairs_only(B.cross_script_address(*raw_sides(s, d))))
+# the queries of these names above are fixed by their SQL to folded text
+for _name, _f in (("is_non_ascii_raw", X.is_non_ascii), ("primary_script_raw", X.primary_script), ("script_set_raw", lambda c: F.array_join(X.script_set(c), ","))):
+    query(_name)(lambda s, d, f=_f: T.records(s, d, folded=False).select("entity_id", f(F.col("business_name")).alias("v")))
+
+
 @query("jaccard_best")
 def _(s, d):
     return B.best_by_jaccard(*sides(s, d))
@@ -286,7 +296,7 @@ query("eval_split", "select n_true = 0 as singleton, count(*)::bigint as entitie
 query("f05_ceiling", "select entity_id, round(1.25 * len(inf) / 10.0::double / (0.25 + len(inf) / 10.0::double), 6) as v from norm where len(inf) > 0")(lambda s, d: normal(s, d).where(F.size("name_informative_tokens") > 0).select("entity_id", F.round(E.f05_ceiling(F.size("name_informative_tokens") / 10.0), 6).alias("v")))
 query("error_decomp", "select kind, count(*)::bigint as pairs, count(distinct s1_id)::bigint as entities from (select s1_id, 'blocking_miss' as kind from (select s1_id, cand_id from truth except select s1_id, cand_id from cand) union all select s1_id, 'classifier_fn' from (select s1_id, cand_id from truth intersect select s1_id, cand_id from sc where score <= 0.8) union all select s1_id, 'fp' from (select s1_id, cand_id from sc where score > 0.8 except select s1_id, cand_id from truth)) group by kind")(lambda s, d: E.error_decomposition(true_pairs(s, d), cands(s, d), E.decide_threshold(scored(s, d), 0.8)))
 query("failure_class")(lambda s, d: S.pair_records(true_pairs(s, d), *sides(s, d)).groupBy(E.failure_class().alias("reason")).count())
-query("xscript_recall")(lambda s, d: S.pair_records(true_pairs(s, d), *sides(s, d)).where(X.script_set(F.col("a_name_clean")) != X.script_set(F.col("b_name_clean"))).agg(F.count(F.lit(1)).alias("n")))
+query("xscript_recall")(lambda s, d: S.pair_records(true_pairs(s, d), *raw_sides(s, d)).where(X.script_set(F.col("a_name_clean")) != X.script_set(F.col("b_name_clean"))).agg(F.count(F.lit(1)).alias("n")))
 query("ablation_loo", "select x.s as strategy, sum((len(list_filter(strategies, lambda y: y <> x.s)) > 0)::int)::bigint as pairs_without, count(truth.s1_id)::bigint as true_all from cand cross join (select distinct unnest(strategies) as s from cand) x left join truth on truth.s1_id = cand.s1_id and truth.cand_id = cand.cand_id group by x.s")(lambda s, d: C.ablation(cands(s, d), true_pairs(s, d)).drop("true_without"))
 query("overlap_matrix", "select x.s as a, y.s as b, count(*)::bigint as both from (select s1_id, cand_id, unnest(strategies) as s from cand) x join (select s1_id, cand_id, unnest(strategies) as s from cand) y using (s1_id, cand_id) group by x.s, y.s")(lambda s, d: C.overlap_matrix(cands(s, d), true_pairs(s, d)).drop("true_both"))
 query("prune_aware", "select s1_id, cand_id from (select *, 10 * len(strategies) + 5 * list_contains(strategies, 'exact_name')::int + 5 * list_contains(strategies, 'address')::int + 3 * list_contains(strategies, 'rare_token')::int as b, count(*) over (partition by s1_id) as n from cand) qualify n <= 5 or row_number() over (partition by s1_id order by b desc, cand_id) <= 3")(lambda s, d: pairs_only(C.prune_ranked(cands(s, d), C.blocker_score(F.col("strategies")), 3, 5)))

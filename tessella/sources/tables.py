@@ -49,15 +49,16 @@ def text_to_lists(df: DataFrame, columns: list[str]) -> DataFrame:
     return df.withColumns({c: F.filter(F.split(c, " "), lambda x: x != "") for c in columns})
 
 
-def records(spark: SparkSession, sf_dir: str) -> DataFrame:
+def records(spark: SparkSession, sf_dir: str, folded: bool = True) -> DataFrame:
     """Linkable records from documents: entity_id, business_name, business_address, country, head.
 
     Source i has the documents with doc_id % 3 = i - 1; names are the first
     words with a legal form, addresses a number, two words and a postal code.
     head is the digest of the first characters, from which truth is made.
+    folded makes ASCII of the text, as SQL does; otherwise all scripts stay.
     """
     d = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "lang", "n_chars")
-    plain = F.regexp_replace(F.translate("text", ACCENTED, PLAIN), r"[^\x00-\x7F]+", "")
+    plain = F.regexp_replace(F.translate("text", ACCENTED, PLAIN), r"[^\x00-\x7F]+", "") if folded else F.col("text")
     d = d.withColumn("w", F.split(F.trim(F.regexp_replace(plain, r"[\x09-\x0D\x20]+", " ")), " "))
     w = lambda i: F.coalesce(F.get("w", F.lit(i)), F.lit(""))
     suffix = F.element_at(F.array(*[F.lit(s) for s in SUFFIXES]), (F.col("doc_id") % 5 + 1).cast("int"))

@@ -6,6 +6,7 @@ from tessella.operators import blocking as B
 from tessella.operators import candidates as C
 from tessella.operators import evaluation as E
 from tessella.operators import quality_checks as Q
+from tessella.plans import queries as linkage
 from tessella.plans.presets import PRESETS, Linkage
 from tessella.sources.tables import read_tsv
 
@@ -126,3 +127,37 @@ def test_no_cartesian_products(spark):
     for f in (B.exact_names, B.by_pin_number, B.rare_tokens, B.token_intersection):
         plan = f(t, t)._jdf.queryExecution().toString()
         assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan
+
+
+def test_cross_script_queries(spark, tmp_path):
+    """Documents in several scripts against brute force."""
+    names = ["राम शर्मा बाजार दुकान", "ram sharma bazar dukan", "தமிழ் கடை ஊர் வீடு", "société générale crédit lyonnais", "societe generale credit lyonnais", "plain words stand here"]
+    docs = [(i, f"{names[i // 2 % len(names)]} Hill Town more", "en", 100 + i // 6) for i in range(1, 61)]
+    spark.createDataFrame(docs, "doc_id long, text string, lang string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    suffix = ("Inc", "LLC", "Pvt Ltd", "SARL", "")
+    rec = []
+    for i, text, _, n in docs:
+        w = text.split()
+        name = " ".join([*w[:4], suffix[i % 5]])
+        addr = "" if i % 31 == 0 else f"{n % 900} {w[4]} St, {w[5]} {10000 + n % 500}"
+        scripts = {s for s, (a, b) in {"Devanagari": (0x900, 0x97F), "Tamil": (0xB80, 0xBFF)}.items() if any(a <= ord(c) <= b for c in name)}
+        scripts |= {"Latin"} if any(c.isalpha() and (ord(c) < 0x250) for c in name) else set()
+        rec.append((f"S{1 + i % 3}-{i}", i, name, addr, n, scripts, "" if i % 97 == 0 else "EN"))
+    raw = {k: {r[0]: r[1] for r in linkage.QUERIES[k](spark, str(tmp_path)).select("entity_id", "v").collect()} for k in ("is_non_ascii_raw", "primary_script_raw", "script_set_raw")}
+    for e, _, name, _, _, scripts, _ in rec:
+        assert raw["is_non_ascii_raw"][e] == (not name.isascii()) and raw["script_set_raw"][e] == ",".join(sorted(scripts))
+        assert raw["primary_script_raw"][e] == next((s for s in ("Devanagari", "Tamil") if s in scripts), "Latin")
+    # all addresses have a number and a postal code
+    left, right = [r for r in rec if r[0].startswith("S1")], [r for r in rec if not r[0].startswith("S1")]
+    want = {(a[0], b[0]) for a in left for b in right if a[3] and a[3] == b[3] and a[5] != b[5]}
+    assert want and rows(linkage.QUERIES["block_xscript_addr"](spark, str(tmp_path))) == want
+    # readings: whole name, or a token of four Latin letters and more
+    reading = {r[0]: "".join(map(X.romanised, r[2].lower())).strip() for r in rec}
+    clean = {e: " ".join(x.split()) for e, x in reading.items()}
+    keys = lambda e: {clean[e]} | {t for t in clean[e].split() if len(t) >= 4 and t.isascii() and t.isalpha()}
+    far = [b for b in right if not b[2].isascii()]
+    want = {(a[0], b[0]) for a in left for b in far if any(sum(k in keys(c[0]) for c in far) <= 30 for k in keys(a[0]) & keys(b[0]))}
+    got = rows(linkage.QUERIES["block_translit"](spark, str(tmp_path)))
+    assert want and got == want
+    true = [(a, b) for a in left for b in right if docs[a[1] - 1][1] == docs[b[1] - 1][1]]
+    assert linkage.QUERIES["xscript_recall"](spark, str(tmp_path)).first()["n"] == sum(a[5] != b[5] for a, b in true) > 0
