@@ -7,8 +7,8 @@ format and character classes, and for names the gender and script:
 
 * digits of phones, cards and similar numbers go through a keyed Feistel
   permutation of the digit string, so different numbers stay different by
-  construction; separators, a leading country code and a card's check-digit
-  offset are kept;
+  construction; separators, a country code after a plus (by the numbering plan)
+  and a card's check-digit offset are kept;
 * IPv4 addresses go through such a permutation of 32 bits;
 * e-mail addresses, keys and tokens are rewritten letter for letter and digit for digit
   by a keyed stream; the top-level domain stays;
@@ -19,7 +19,7 @@ format and character classes, and for names the gender and script:
 The same entity always gets the same surrogate (coreference). Collisions, that
 is two entities with one surrogate or a surrogate that equals a real entity, are
 searched over the whole corpus and resolved by counting up an attempt number
-that enters the key, until none is left (distinctness).
+that enters the key, until none is left (distinctness); an error if that takes too long.
 """
 
 from __future__ import annotations
@@ -67,6 +67,8 @@ PATTERNS = (
 ANY = "|".join(f"(?:{p})" for _, p in PATTERNS)
 #: A text without these has no entity; cheap to test.
 HINT = r"[0-9@]|(?<![\p{L}])" + TITLE + r" \p{Lu}|(?i:password|passwd|secret|token|api_?key)"
+#: Country codes of the international numbering plan; none begins another.
+CODES = r"^(?:1|7|2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58]|\d{3})"
 PREFIX = r"^(?i:(?:password|passwd|secret|token|api_?key)\s{0,2}[=:]\s{0,2}[\"']?)"
 
 
@@ -79,9 +81,17 @@ def kind(e: Column) -> Column:
 
 
 def normal(e: Column, k: Column) -> Column:
-    """What mentions of one entity share: digits for numbers, lower case for addresses."""
+    """What mentions of one entity share: digits for numbers, lower case for addresses, names without form of address.
+
+    A phone with a country code keeps its plus; a name keeps the gender of its form of address."""
     digits = F.regexp_replace(e, r"\D", "")
-    return F.when(k.isin("phone", "card", "ssn"), digits).when(k == "email", F.lower(e)).when(k == "secret", F.regexp_replace(e, PREFIX, "")).when(k == "iban", F.replace(e, F.lit(" "), F.lit(""))).when(k == "name", F.regexp_replace(e, "^" + TITLE + " ", "")).otherwise(e)
+    name = F.concat(gender(e), F.lit(":"), F.regexp_replace(e, "^" + TITLE + " ", ""))
+    return F.when(k == "phone", F.concat(F.when(e.startswith("+"), "+").otherwise(""), digits)).when(k.isin("card", "ssn"), digits).when(k == "email", F.lower(e)).when(k == "secret", F.regexp_replace(e, PREFIX, "")).when(k == "iban", F.replace(e, F.lit(" "), F.lit(""))).when(k == "name", name).otherwise(e)
+
+
+def gender(e: Column) -> Column:
+    stem = F.regexp_replace(F.regexp_extract(e, "^" + TITLE + " ", 0), r"\.? $", "")
+    return F.when(stem.isin(*MALE), "m").when(stem.isin(*FEMALE), "f").otherwise("x")
 
 
 def number(salt: Column, *parts: Column) -> Column:
@@ -108,9 +118,9 @@ def permuted(digits: Column, salt: Column) -> Column:
     return let(pair, lambda x: F.concat(F.lpad(x["a"].cast("string"), half, "0"), F.lpad(x["b"].cast("string"), rest, "0")))
 
 
-def poured(form: Column, digits: Column) -> Column:
-    """form with its digits replaced, in order, by those of digits."""
-    step = lambda s, c: F.when(c.rlike(r"^\d$"), F.struct(F.concat(s["out"], F.substring(digits, s["i"], F.lit(1))).alias("out"), (s["i"] + 1).alias("i"))).otherwise(F.struct(F.concat(s["out"], c).alias("out"), s["i"].alias("i")))
+def poured(form: Column, digits: Column, of: str = r"\d") -> Column:
+    """form with its digits (characters of class of) replaced, in order, by those of digits."""
+    step = lambda s, c: F.when(c.rlike(f"^{of}$"), F.struct(F.concat(s["out"], F.substring(digits, s["i"], F.lit(1))).alias("out"), (s["i"] + 1).alias("i"))).otherwise(F.struct(F.concat(s["out"], c).alias("out"), s["i"].alias("i")))
     return F.aggregate(F.split(form, ""), F.struct(F.lit("").alias("out"), F.lit(1).alias("i")), step, lambda s: s["out"])
 
 
@@ -155,13 +165,11 @@ def streamed(e: Column, salt: Column, seed: Column) -> Column:
 def named(e: Column, salt: Column) -> Column:
     """A titled name: the title stays, tokens become syllables of their script with an ending of the gender."""
     title = F.regexp_extract(e, "^" + TITLE + " ", 0)
-    stem = F.regexp_replace(title, r"\.? $", "")
-    gender = F.when(stem.isin(*MALE), "m").when(stem.isin(*FEMALE), "f").otherwise("x")
     tokens = F.split(F.regexp_replace(e, "^" + TITLE + " ", ""), " ")
 
     def token(t: Column, i: Column) -> Column:
         last = i == F.size(tokens) - 1
-        role = F.when(last, F.lit("x")).otherwise(gender)
+        role = F.when(last, F.lit("x")).otherwise(gender(e))
 
         def built(script: str) -> Column:
             s = F.array(*[F.lit(x) for x in SYLLABLES[script]])
@@ -178,17 +186,21 @@ def named(e: Column, salt: Column) -> Column:
 
 
 def surrogate(e: Column, k: Column, attempt: Column, key: str = KEY) -> Column:
-    """The replacement of entity e of type k; attempt is 0 unless that collided."""
+    """The replacement of entity e of type k; attempt is 0 unless that collided.
+
+    It is computed from the normal form and poured into the format of e, so all
+    spellings of an entity get spellings of one surrogate."""
     salt = F.concat_ws("\x01", F.lit(key), k, attempt.cast("string"))
     digits = F.regexp_replace(e, r"\D", "")
-    code = F.length(F.regexp_extract(e, r"^\+(\d{1,3})[ .(-]", 1))
+    code = F.when(e.startswith("+"), F.length(F.regexp_extract(digits, CODES, 0))).otherwise(0)
     phone = F.concat(F.substring(digits, F.lit(1), code), permuted(F.substring(digits, code + 1, F.length(digits) - code), salt))
     domain = F.substring_index(F.lower(e), "@", -1)
     top = F.regexp_extract(domain, r"(?:\.example)?\.[a-z]+$", 0)
     mail = F.concat(streamed(F.lower(F.substring_index(e, "@", 1)), salt, F.lower(e)), F.lit("@"), streamed(F.substring(domain, F.lit(1), F.length(domain) - F.length(top)), F.concat(F.lit(key), F.lit("domain")), domain), F.when(attempt > 3, F.concat(F.lit(".m"), attempt.cast("string"))).otherwise(F.lit("")), top)
     bare = F.regexp_replace(e, PREFIX, "")
     secret = F.concat(F.substring(e, F.lit(1), F.length(e) - F.length(bare)), F.when(bare.startswith("AKIA"), F.concat(F.lit("AKIA"), streamed(F.substring(bare, F.lit(5), F.length(bare)), salt, bare))).otherwise(streamed(bare, salt, bare)))
-    iban = F.concat(F.substring(e, 1, 2), streamed(F.substring(e, F.lit(3), F.length(e)), salt, F.replace(e, F.lit(" "), F.lit(""))))
+    account = F.replace(e, F.lit(" "), F.lit(""))
+    iban = F.concat(F.substring(e, 1, 2), poured(F.substring(e, F.lit(3), F.length(e)), streamed(F.substring(account, F.lit(3), F.length(account)), salt, account), "[A-Z0-9]"))
     out = F.when(k == "email", mail).when(k == "secret", secret).when(k == "ip", address(e, salt)).when(k == "iban", iban)
     out = out.when(k == "phone", poured(e, phone)).when(k == "card", poured(e, card(digits, salt)))
     return out.when(k == "ssn", poured(e, permuted(digits, salt))).otherwise(named(e, salt))
@@ -202,8 +214,8 @@ def entities(text: Column) -> Column:
 def attempts(found: DataFrame, key: str = KEY, max_rounds: int = 20) -> DataFrame:
     """(kind, norm, attempt) of the entities whose attempt is not 0.
 
-    found has one row per distinct (kind, norm, e), e being one mention. In each
-    round, of the entities that share a surrogate the first keeps it and the
+    found has one row per distinct (kind, norm), e being one mention of it; all
+    others get the same surrogate but for format. In each round, of the entities that share a surrogate the first keeps it and the
     others, as well as those whose surrogate is a real entity, count up.
     """
     tasks = max(found.sparkSession.sparkContext.defaultParallelism, found.count() // PER_TASK + 1)
@@ -219,6 +231,8 @@ def attempts(found: DataFrame, key: str = KEY, max_rounds: int = 20) -> DataFram
         if again.isEmpty():
             break
         now = now.drop("s").join(again, ["kind", "norm"], "left").select("kind", "norm", "e", (F.col("attempt") + F.coalesce("more", F.lit(0))).alias("attempt"))
+    else:
+        raise RuntimeError(f"surrogates still collide after {max_rounds} rounds")
     return now.where("attempt > 0").select("kind", "norm", "attempt")
 
 

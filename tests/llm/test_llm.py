@@ -143,6 +143,19 @@ def test_pii_distinct(spark):
     assert len({t.split(" and ")[1] for t in out}) == 10
 
 
+def test_pii_spellings(spark, monkeypatch):
+    texts = ["+49 (30) 1234567", "+4930 1234567", "+49 30 12 34567", "DE89 3704 0044 0532 0130 00", "DE89370400440532013000", "Mr. John Smith", "Mr John Smith", "Mrs. John Smith", "Mrs John Smith"]
+    got = {r.doc_id: r.text for r in pii.redact(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    bare = lambda i: re.sub(r"[^+\w]", "", got[i])
+    assert bare(0) == bare(1) == bare(2) and bare(0).startswith("+49") and bare(3) == bare(4) and bare(5) == bare(6) and bare(7) == bare(8)
+    for i in range(len(texts)):
+        assert got[i] != texts[i] and re.sub(r"\w", "x", got[i]) == re.sub(r"\w", "x", texts[i]) or i > 4
+    monkeypatch.setitem(pii.SYLLABLES, "latin", ["ba"])  # four surnames for nine
+    found = spark.createDataFrame([("name", f"m:{c}xo", f"Mr. {c}xo") for c in "ABCDEFGHI"], "kind string, norm string, e string")
+    with pytest.raises(RuntimeError):
+        pii.attempts(found, max_rounds=1)
+
+
 def test_units(docs):
     got = substrings.dedup_units(docs).collect()
     assert sorted((r.doc_id or 0, r.n_removed) for r in got if r.doc_id in (1, 2)) == [(1, 0), (2, 1), (2, 1)]
