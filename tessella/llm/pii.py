@@ -12,14 +12,20 @@ format and character classes, and for names the gender and script:
 * IPv4 addresses go through such a permutation of 32 bits;
 * e-mail addresses, keys and tokens are rewritten letter for letter and digit for digit
   by a keyed stream; the top-level domain stays;
-* a name after a form of address is rewritten token by token with syllables of
-  its script, with an ending of its gender, so "Mr. Smith" and "Mr. John Smith"
-  keep sharing a surname.
+* a name after a form of address is rewritten word by word with syllables of
+  its script: given names with an ending of their gender, the family name
+  without, so "Mr. Smith", "Mr. John Smith" and "Mrs. Smith" keep sharing one;
+* an IBAN keeps its country, and its check digits stay right or wrong as they were.
+
+Names are found after a form of address only; nothing in a text tells a bare
+name from other capitalised words.
 
 The same entity always gets the same surrogate (coreference). Collisions, that
 is two entities with one surrogate or a surrogate that equals a real entity, are
 searched over the whole corpus and resolved by counting up an attempt number
-that enters the key, until none is left (distinctness); an error if that takes too long.
+that enters the key, until none is left (distinctness); an error if that takes
+too long. The entities of names are their given and family names, so names are
+distinct because their parts are, and a part has one surrogate in all names.
 """
 
 from __future__ import annotations
@@ -29,9 +35,10 @@ import json
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import cut, let
+from .shared import cut, let, unused
 
-KEY = "tessella"
+#: The setting of the session that holds the secret key, and the key where it is not set.
+KEY_SETTING, KEY = "spark.tessella.pii.key", "no secret: set spark.tessella.pii.key"
 #: Entities whose attempt number is carried as a literal; more are joined.
 MAX_LITERAL = 5_000
 #: Distinct entities whose surrogates one task computes.
@@ -53,7 +60,8 @@ ENDINGS = {
 }
 
 TITLE = "(?:" + "|".join(MALE + FEMALE + NEUTRAL) + r")\b\.?"
-NAME = r"(?<![\p{L}])" + TITLE + r"(?: \p{Lu}\p{Ll}+(?:[-'’]\p{Lu}\p{Ll}+)?){1,3}"
+PART = r"\p{Lu}\p{L}*\p{Ll}"
+NAME = r"(?<![\p{L}])" + TITLE + rf"(?: {PART}(?:[-'’]{PART})?){{1,3}}"
 PATTERNS = (
     ("email", r"[A-Za-z0-9][A-Za-z0-9._%+-]*@(?:[A-Za-z0-9-]+\.)+[A-Za-z]{2,}"),
     ("secret", r"(?i:(?:password|passwd|secret|token|api_?key)\s{0,2}[=:]\s{0,2}[\"']?)[A-Za-z0-9_\-]{8,}|\bAKIA[A-Z0-9]{16}\b"),
@@ -69,6 +77,8 @@ ANY = "|".join(f"(?:{p})" for _, p in PATTERNS)
 HINT = r"[0-9@]|(?<![\p{L}])" + TITLE + r" \p{Lu}|(?i:password|passwd|secret|token|api_?key)"
 #: Country codes of the international numbering plan; none begins another.
 CODES = r"^(?:1|7|2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58]|\d{3})"
+#: Types whose entities are the parts of names.
+NAMED = ("given", "family")
 PREFIX = r"^(?i:(?:password|passwd|secret|token|api_?key)\s{0,2}[=:]\s{0,2}[\"']?)"
 
 
@@ -81,19 +91,39 @@ def kind(e: Column) -> Column:
 
 
 def normal(e: Column, k: Column) -> Column:
-    """What mentions of one entity share: digits for numbers, lower case for addresses, names without form of address.
+    """What mentions of one entity share: digits for numbers, lower case for addresses.
 
-    A phone with a country code keeps its plus; a name keeps the gender of its form of address."""
+    A phone with a country code keeps its plus. Names have parts() instead."""
     digits = F.regexp_replace(e, r"\D", "")
-    name = F.concat(gender(e), F.lit(":"), F.regexp_replace(e, "^" + TITLE + " ", ""))
-    return F.when(k == "phone", F.concat(F.when(e.startswith("+"), "+").otherwise(""), digits)).when(k.isin("card", "ssn"), digits).when(k == "email", F.lower(e)).when(k == "secret", F.regexp_replace(e, PREFIX, "")).when(k == "iban", F.replace(e, F.lit(" "), F.lit(""))).when(k == "name", name).otherwise(e)
+    return F.when(k == "phone", F.concat(F.when(e.startswith("+"), "+").otherwise(""), digits)).when(k.isin("card", "ssn"), digits).when(k == "email", F.lower(e)).when(k == "secret", F.regexp_replace(e, PREFIX, "")).when(k == "iban", F.replace(e, F.lit(" "), F.lit(""))).otherwise(e)
 
 
-def gender(e: Column) -> Column:
-    stem = F.regexp_replace(F.regexp_extract(e, "^" + TITLE + " ", 0), r"\.? $", "")
+def gender(title: Column) -> Column:
+    stem = F.regexp_replace(title, r"\.? $", "")
     return F.when(stem.isin(*MALE), "m").when(stem.isin(*FEMALE), "f").otherwise("x")
 
 
+def title_of(e: Column) -> Column:
+    return F.regexp_extract(e, "^" + TITLE + " ", 0)
+
+
+def halves(name: Column) -> tuple[Column, Column]:
+    """The given names, with the white space after them, and the family name of a name without its form of address."""
+    family = F.substring_index(name, " ", -1)
+    return F.substring(name, F.lit(1), F.length(name) - F.length(family)), family
+
+
+def parts(e: Column) -> Column:
+    """(kind, norm) of a titled name's given names, marked by gender, and family name, marked x."""
+
+    def of(title: Column) -> Column:
+        given, family = halves(F.substring(e, F.length(title) + 1, F.length(e)))
+        own = F.transform(F.regexp_extract_all(given, F.lit(PART), F.lit(0)), lambda p: F.struct(F.lit("given").alias("kind"), F.concat(gender(title), F.lit(":"), p).alias("norm")))
+        return F.concat(own, F.transform(F.regexp_extract_all(family, F.lit(PART), F.lit(0)), lambda p: F.struct(F.lit("family").alias("kind"), F.concat(F.lit("x:"), p).alias("norm"))))
+
+    return let(title_of(e), of)
+
+
 def number(salt: Column, *parts: Column) -> Column:
     """A keyed number from 0 to 2**56."""
     return F.conv(F.substring(F.sha2(F.concat_ws("\x01", salt, *[p.cast("string") for p in parts]), 256), 1, 14), 16, 10).cast("long")
@@ -152,7 +182,7 @@ def address(e: Column, salt: Column) -> Column:
 
 def streamed(e: Column, salt: Column, seed: Column) -> Column:
     """e with letters and digits replaced by keyed ones of their class."""
-    hexa = e.rlike("^[0-9a-f]+$") & e.rlike("[0-9]")
+    hexa = e.rlike("^[0-9a-f]{16,}$") & e.rlike("[0-9]") & e.rlike("[a-f]")
 
     def one(c: Column, i: Column) -> Column:
         r = F.pmod(F.xxhash64(salt, seed, i), F.lit(1_000_003))
@@ -162,48 +192,75 @@ def streamed(e: Column, salt: Column, seed: Column) -> Column:
     return F.array_join(F.transform(F.split(e, ""), one), "")
 
 
-def named(e: Column, salt: Column) -> Column:
-    """A titled name: the title stays, tokens become syllables of their script with an ending of the gender."""
-    title = F.regexp_extract(e, "^" + TITLE + " ", 0)
-    tokens = F.split(F.regexp_replace(e, "^" + TITLE + " ", ""), " ")
+def word(norm: Column, salt: Column, attempt: Column) -> Column:
+    """The surrogate of a part of a name, from its marked form: syllables of its script, and an ending of its gender if any."""
+
+    def built(t: Column, script: str) -> Column:
+        s = F.array(*[F.lit(x) for x in SYLLABLES[script]])
+        pick = lambda k: F.get(s, F.pmod(F.xxhash64(salt, F.lit(k), norm), F.lit(len(SYLLABLES[script]))).cast("int"))
+        end = F.lit("")
+        for g, ends in ENDINGS[script].items():
+            a = F.array(*[F.lit(x) for x in ends])
+            end = F.when(norm.startswith(g), F.get(a, F.pmod(F.xxhash64(salt, F.lit("end"), norm), F.lit(len(ends))).cast("int"))).otherwise(end)
+        # later attempts draw from longer words
+        more = F.when(attempt > 3, F.concat(pick(4), pick(5))).otherwise("")
+        return F.initcap(F.concat(*[pick(k) for k in range(4)], more, end))
+
+    return let(F.substring(norm, F.lit(3), F.length(norm)), lambda t: F.when(t.rlike(r"^\p{IsCyrillic}"), built(t, "cyrillic")).when(t.rlike(r"^\p{IsGreek}"), built(t, "greek")).otherwise(built(t, "latin")))
+
+
+def salted(k: Column, attempt: Column, key: str) -> Column:
+    return F.concat_ws("\x01", F.lit(key), k, attempt.cast("string"))
 
-    def token(t: Column, i: Column) -> Column:
-        last = i == F.size(tokens) - 1
-        role = F.when(last, F.lit("x")).otherwise(gender(e))
 
-        def built(script: str) -> Column:
-            s = F.array(*[F.lit(x) for x in SYLLABLES[script]])
-            pick = lambda k: F.get(s, F.pmod(F.xxhash64(salt, F.lit(k), role, t), F.lit(len(SYLLABLES[script]))).cast("int"))
-            end = F.lit(None)
-            for g, ends in ENDINGS[script].items():
-                a = F.array(*[F.lit(x) for x in ends])
-                end = F.when(role == g, F.get(a, F.pmod(F.xxhash64(salt, F.lit("end"), t), F.lit(len(ends))).cast("int"))).otherwise(end)
-            return F.initcap(F.concat(*[pick(k) for k in range(4)], end))
+def remainder(account: Column) -> Column:
+    """An IBAN's country and account number, with 00 for the check digits, modulo 97 by its standard."""
+    value = lambda c: F.when(c.rlike("[0-9]"), c.cast("int")).otherwise(F.ascii(c) - 55)
+    turned = F.concat(F.substring(account, F.lit(5), F.length(account)), F.substring(account, 1, 2), F.lit("00"))
+    return F.aggregate(F.split(turned, ""), F.lit(0), lambda r, c: let(value(c), lambda v: (r * F.when(v > 9, 100).otherwise(10) + v) % 97))
 
-        return F.when(t.rlike(r"^\p{IsCyrillic}"), built("cyrillic")).when(t.rlike(r"^\p{IsGreek}"), built("greek")).otherwise(built("latin"))
 
-    return F.concat(title, F.array_join(F.transform(tokens, token), " "))
+def iban(account: Column, salt: Column) -> Column:
+    """The surrogate of an account number without spaces; check digits as far from the right ones as before."""
+    given = F.substring(account, 3, 2).cast("int")
+    body = streamed(F.substring(account, F.lit(5), F.length(account)), salt, account)
+    fresh = lambda b: F.concat(F.substring(account, 1, 2), F.lit("00"), b)
+    check = lambda b: F.pmod(F.lit(96) - remainder(fresh(b)) + given - (98 - remainder(account)), F.lit(97)) + 2
+    return let(body, lambda b: F.concat(F.substring(account, 1, 2), F.lpad(check(b).cast("string"), 2, "0"), b))
+
+
+def mail(e: Column, salt: Column, attempt: Column, key: str) -> Column:
+    def of(low: Column) -> Column:
+        return let(F.substring_index(low, "@", -1), lambda domain: let(F.regexp_extract(domain, r"(?:\.example)?\.[a-z]+$", 0), lambda top: F.concat(
+            streamed(F.substring_index(low, "@", 1), salt, low), F.lit("@"), streamed(F.substring(domain, F.lit(1), F.length(domain) - F.length(top)), F.concat(F.lit(key), F.lit("domain")), domain),
+            F.when(attempt > 3, F.concat(F.lit(".m"), attempt.cast("string"))).otherwise(F.lit("")), top)))
+
+    return let(F.lower(e), of)
 
 
 def surrogate(e: Column, k: Column, attempt: Column, key: str = KEY) -> Column:
-    """The replacement of entity e of type k; attempt is 0 unless that collided.
+    """The replacement of entity e of type k, no name; attempt is 0 unless that collided.
 
     It is computed from the normal form and poured into the format of e, so all
-    spellings of an entity get spellings of one surrogate."""
-    salt = F.concat_ws("\x01", F.lit(key), k, attempt.cast("string"))
-    digits = F.regexp_replace(e, r"\D", "")
-    code = F.when(e.startswith("+"), F.length(F.regexp_extract(digits, CODES, 0))).otherwise(0)
-    phone = F.concat(F.substring(digits, F.lit(1), code), permuted(F.substring(digits, code + 1, F.length(digits) - code), salt))
-    domain = F.substring_index(F.lower(e), "@", -1)
-    top = F.regexp_extract(domain, r"(?:\.example)?\.[a-z]+$", 0)
-    mail = F.concat(streamed(F.lower(F.substring_index(e, "@", 1)), salt, F.lower(e)), F.lit("@"), streamed(F.substring(domain, F.lit(1), F.length(domain) - F.length(top)), F.concat(F.lit(key), F.lit("domain")), domain), F.when(attempt > 3, F.concat(F.lit(".m"), attempt.cast("string"))).otherwise(F.lit("")), top)
-    bare = F.regexp_replace(e, PREFIX, "")
-    secret = F.concat(F.substring(e, F.lit(1), F.length(e) - F.length(bare)), F.when(bare.startswith("AKIA"), F.concat(F.lit("AKIA"), streamed(F.substring(bare, F.lit(5), F.length(bare)), salt, bare))).otherwise(streamed(bare, salt, bare)))
-    account = F.replace(e, F.lit(" "), F.lit(""))
-    iban = F.concat(F.substring(e, 1, 2), poured(F.substring(e, F.lit(3), F.length(e)), streamed(F.substring(account, F.lit(3), F.length(account)), salt, account), "[A-Z0-9]"))
-    out = F.when(k == "email", mail).when(k == "secret", secret).when(k == "ip", address(e, salt)).when(k == "iban", iban)
-    out = out.when(k == "phone", poured(e, phone)).when(k == "card", poured(e, card(digits, salt)))
-    return out.when(k == "ssn", poured(e, permuted(digits, salt))).otherwise(named(e, salt))
+    spellings of an entity get spellings of one surrogate. What is used more
+    than once is bound, so that the expression stays small."""
+
+    def number_of(digits: Column, salt: Column) -> Column:
+        code = F.when(e.startswith("+"), F.length(F.regexp_extract(digits, CODES, 0))).otherwise(0)
+        rest = lambda c: let(F.substring(digits, c + 1, F.length(digits)), lambda d: permuted(d, salt))
+        return F.when(k == "phone", let(code, lambda c: F.concat(F.substring(digits, F.lit(1), c), rest(c)))).when(k == "card", card(digits, salt)).otherwise(permuted(digits, salt))
+
+    def secret(bare: Column, salt: Column) -> Column:
+        aws = bare.startswith("AKIA")
+        return F.concat(F.substring(e, F.lit(1), F.length(e) - F.length(bare)), F.when(aws, F.lit("AKIA")).otherwise(""), streamed(F.when(aws, F.substring(bare, F.lit(5), F.length(bare))).otherwise(bare), salt, bare))
+
+    def of(salt: Column) -> Column:
+        out = F.when(k == "email", mail(e, salt, attempt, key)).when(k == "ip", address(e, salt))
+        out = out.when(k == "secret", let(F.regexp_replace(e, PREFIX, ""), lambda b: secret(b, salt)))
+        out = out.when(k == "iban", let(F.replace(e, F.lit(" "), F.lit("")), lambda a: poured(e, iban(a, salt), "[A-Z0-9]")))
+        return out.otherwise(let(F.regexp_replace(e, r"\D", ""), lambda d: poured(e, number_of(d, salt))))
+
+    return let(salted(k, attempt, key), of)
 
 
 def entities(text: Column) -> Column:
@@ -211,6 +268,14 @@ def entities(text: Column) -> Column:
     return F.when(text.rlike(HINT), F.regexp_extract_all(text, F.lit(ANY), F.lit(0))).otherwise(F.array().cast("array<string>"))
 
 
+def units(mentions: DataFrame) -> DataFrame:
+    """(kind, norm, e) of every entity in mentions (e): of names the parts, marked; of others the mention."""
+    k = mentions.select("e", kind(F.col("e")).alias("kind"))
+    plain = F.array(F.struct("kind", normal(F.col("e"), F.col("kind")).alias("norm")))
+    k = k.select("e", F.explode(F.when(F.col("kind") == "name", parts(F.col("e"))).otherwise(plain)).alias("u"))
+    return k.select("u.kind", "u.norm", F.when(F.col("u.kind").isin(*NAMED), F.col("u.norm")).otherwise(F.col("e")).alias("e"))
+
+
 def attempts(found: DataFrame, key: str = KEY, max_rounds: int = 20) -> DataFrame:
     """(kind, norm, attempt) of the entities whose attempt is not 0.
 
@@ -221,9 +286,12 @@ def attempts(found: DataFrame, key: str = KEY, max_rounds: int = 20) -> DataFram
     tasks = max(found.sparkSession.sparkContext.defaultParallelism, found.count() // PER_TASK + 1)
     real = found.select(F.col("kind").alias("r_kind"), F.col("norm").alias("r_norm"))
     now = found.withColumn("attempt", F.lit(0))
+    e, k, attempt = F.col("e"), F.col("kind"), F.col("attempt")
+    part = let(salted(k, attempt, key), lambda s: F.concat(F.substring(e, 1, 2), word(e, s, attempt)))
+    own = F.when(k.isin(*NAMED), part).otherwise(let(surrogate(e, k, attempt, key), lambda s: normal(s, k)))
     for _ in range(max_rounds):
         # few bytes, much work: dealt by hand, since small shuffles are otherwise merged into one task
-        now = cut(now.repartition(tasks, "kind", "norm").withColumn("s", normal(surrogate(F.col("e"), F.col("kind"), F.col("attempt"), key), F.col("kind"))))
+        now = cut(now.repartition(tasks, "kind", "norm").withColumn("s", own))
         first = now.groupBy("kind", "s").agg(F.min(F.struct("attempt", "norm")).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1")
         twice = now.join(first, ["kind", "s"]).where((F.col("first.attempt") != F.col("attempt")) | (F.col("first.norm") != F.col("norm"))).select("kind", "norm")
         taken = now.join(real, (F.col("kind") == F.col("r_kind")) & (F.col("s") == F.col("r_norm"))).select("kind", "norm")
@@ -236,37 +304,69 @@ def attempts(found: DataFrame, key: str = KEY, max_rounds: int = 20) -> DataFram
     return now.where("attempt > 0").select("kind", "norm", "attempt")
 
 
-def redact(docs: DataFrame, key: str = KEY, max_literal: int = MAX_LITERAL) -> DataFrame:
-    """docs with entities of text replaced, and pii_count, the number replaced.
+def interleaved(gaps: Column, found: Column) -> Column:
+    """The pieces between matches with new matches between them; there is one piece more than matches."""
+    return F.array_join(F.flatten(F.transform(F.arrays_zip(gaps.alias("g"), found.alias("s")), lambda z: F.array(z["g"], F.coalesce(z["s"], F.lit(""))))), "")
 
-    One row per row of docs and all its columns; null and empty texts stay as
-    they are with count 0; equal rows are treated alike; null ids and extra
-    columns make no difference; an empty table gives an empty result.
+
+def redact(docs: DataFrame, key: str | None = None, max_literal: int = MAX_LITERAL, count: str | None = "pii_count") -> DataFrame:
+    """docs with entities of text replaced, and the number replaced in a column named count, if given.
+
+    key is the secret of the surrogates; by default that of the session's
+    setting. One row per row of docs and all its columns (one named like count
+    is replaced); null and empty texts stay as they are with count 0; equal rows
+    are treated alike; null ids and extra columns make no difference; an empty
+    table gives an empty result.
 
     Nearly all entities get their surrogate inside the row. Those that collided
     are few; up to max_literal of them travel as a literal map, a checked bound;
-    beyond it they are joined to the documents that mention them.
+    beyond it they are joined to the texts that mention them.
     """
-    found = docs.where(F.col("text").rlike(HINT)).select(F.explode(entities(F.col("text"))).alias("e"))
-    found = found.select("e", kind(F.col("e")).alias("kind")).select("kind", normal(F.col("e"), F.col("kind")).alias("norm"), "e")
+    key = key or docs.sparkSession.conf.get(KEY_SETTING, KEY)
+    ents, odd_at, of = (unused(docs, c) for c in ("p_ents", "p_odd", "p_of"))
+    found = units(docs.where(F.col("text").rlike(HINT)).select(F.explode(entities(F.col("text"))).alias("e")))
     odd = cut(attempts(cut(found.groupBy("kind", "norm").agg(F.min("e").alias("e"))), key))
     name = F.concat_ws("\x01", "kind", "norm")
     some = odd.select(name.alias("k"), "attempt").limit(max_literal + 1).collect()
-    out = docs.withColumn("p_ents", entities(F.col("text")))
-    if len(some) <= max_literal:
-        out = out.withColumn("p_odd", F.from_json(F.lit(json.dumps({r["k"]: r["attempt"] for r in some})), "map<string,int>") if some else F.lit(None).cast("map<string,int>"))
-    else:
-        wanted = cut(out.where(F.size("p_ents") > 0).select("doc_id", F.explode("p_ents").alias("e")).select("doc_id", "e", kind(F.col("e")).alias("kind")).select("doc_id", "kind", normal(F.col("e"), F.col("kind")).alias("norm")).distinct())
-        maps = wanted.join(odd, ["kind", "norm"]).groupBy(F.col("doc_id").alias("p_id")).agg(F.map_from_entries(F.collect_set(F.struct(name, "attempt"))).alias("p_odd"))
-        out = out.join(maps, F.col("doc_id").eqNullSafe(F.col("p_id")), "left").drop("p_id")
+    out = docs.withColumn(ents, entities(F.col("text")))
+    table = None
+    if 0 < len(some) <= max_literal:
+        out = out.withColumn(odd_at, F.from_json(F.lit(json.dumps({r["k"]: r["attempt"] for r in some})), "map<string,int>"))
+        table = F.col(odd_at)
+    elif some:
+        # by content, so null ids are no hot key and equal texts share one map
+        digest = F.md5(F.col("text"))
+        wanted = docs.where(F.col("text").rlike(HINT)).select(digest.alias("d"), "text").dropDuplicates(["d"]).select("d", F.explode(entities(F.col("text"))).alias("e"))
+        wanted = wanted.select("d", "e", kind(F.col("e")).alias("kind"))
+        norms = F.when(F.col("kind") == "name", parts(F.col("e"))).otherwise(F.array(F.struct("kind", normal(F.col("e"), F.col("kind")).alias("norm"))))
+        wanted = cut(wanted.select("d", F.explode(norms).alias("u")).select("d", "u.*").distinct())
+        maps = cut(wanted.join(odd, ["kind", "norm"]).groupBy(F.col("d").alias(of)).agg(F.map_from_entries(F.collect_set(F.struct(name, "attempt"))).alias(odd_at)))
+        out = out.join(maps, F.when(F.size(ents) > 0, digest) == F.col(of), "left")
+        table = F.col(odd_at)
+
+    def attempt(k: Column, norm: Column) -> Column:
+        return F.lit(0) if table is None else F.coalesce(F.element_at(table, F.concat_ws("\x01", k, norm)), F.lit(0))
+
+    def renamed(half: Column, k: str, mark: Column) -> Column:
+        def new(p: Column) -> Column:
+            return let(F.concat(mark, F.lit(":"), p), lambda n: let(attempt(F.lit(k), n), lambda a: let(salted(F.lit(k), a, key), lambda s: word(n, s, a))))
+
+        return let(half, lambda h: interleaved(F.split(h, PART, -1), F.transform(F.regexp_extract_all(h, F.lit(PART), F.lit(0)), new)))
+
+    def named(e: Column) -> Column:
+        def of_title(title: Column) -> Column:
+            return let(F.substring(e, F.length(title) + 1, F.length(e)), lambda n: F.concat(title, renamed(halves(n)[0], "given", gender(title)), renamed(halves(n)[1], "family", F.lit("x"))))
+
+        return let(title_of(e), of_title)
 
     def replaced(e: Column) -> Column:
-        return let(kind(e), lambda k: surrogate(e, k, F.coalesce(F.element_at(F.col("p_odd"), F.concat_ws("\x01", k, normal(e, k))), F.lit(0)), key))
+        other = lambda k: let(attempt(k, normal(e, k)), lambda a: surrogate(e, k, a, key))
+        return let(kind(e), lambda k: F.when(k == "name", named(e)).otherwise(other(k)))
 
-    gaps = F.split(F.col("text"), ANY, -1)
-    new = let(gaps, lambda g: F.array_join(F.flatten(F.transform(F.arrays_zip(g.alias("g"), F.transform("p_ents", replaced).alias("s")), lambda z: F.array(z["g"], F.coalesce(z["s"], F.lit(""))))), ""))
-    out = out.withColumn("text", F.when(F.size("p_ents") > 0, new).otherwise(F.col("text"))).withColumn("pii_count", F.size("p_ents").cast("long"))
-    return out.select(*docs.columns, *([] if "pii_count" in docs.columns else ["pii_count"]))
+    new = interleaved(F.split(F.col("text"), ANY, -1), F.transform(ents, replaced))
+    out = out.withColumn("text", F.when(F.size(ents) > 0, new).otherwise(F.col("text")))
+    kept = [F.col(c) for c in docs.columns if c != count]
+    return out.select(*kept, *([F.size(ents).cast("long").alias(count)] if count else []))
 
 
 def op3_query(spark, sf_dir: str) -> DataFrame:

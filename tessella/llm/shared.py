@@ -44,6 +44,13 @@ def discard(*tables: DataFrame) -> None:
             at.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(at, True)
 
 
+def unused(df: DataFrame, name: str) -> str:
+    """name, with underscores before it while df has such a column."""
+    while name.lower() in {c.lower() for c in df.columns}:
+        name = "_" + name
+    return name
+
+
 def let(value: Column, body) -> Column:
     """body(value), with value computed once although body uses it inside lambdas."""
     return F.get(F.transform(F.array(value), body), F.lit(0))
