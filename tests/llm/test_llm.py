@@ -144,22 +144,104 @@ def test_pii_distinct(spark):
 
 
 def test_pii_spellings(spark, monkeypatch):
-    texts = ["+49 (30) 1234567", "+4930 1234567", "+49 30 12 34567", "DE89 3704 0044 0532 0130 00", "DE89370400440532013000", "Mr. John Smith", "Mr John Smith", "Mrs. John Smith", "Mrs John Smith"]
-    got = {r.doc_id: r.text for r in pii.redact(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    texts = ["+49 (30) 1234567", "+4930 1234567", "+49 30 12 34567", "DE89 3704 0044 0532 0130 00", "DE89370400440532013000", "DE00370400440532013000"]
+    d = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r.text for r in pii.redact(d).collect()}
     bare = lambda i: re.sub(r"[^+\w]", "", got[i])
-    assert bare(0) == bare(1) == bare(2) and bare(0).startswith("+49") and bare(3) == bare(4) and bare(5) == bare(6) and bare(7) == bare(8)
+    assert bare(0) == bare(1) == bare(2) and bare(0).startswith("+49") and bare(3) == bare(4)
     for i in range(len(texts)):
-        assert got[i] != texts[i] and re.sub(r"\w", "x", got[i]) == re.sub(r"\w", "x", texts[i]) or i > 4
-    monkeypatch.setitem(pii.SYLLABLES, "latin", ["ba"])  # four surnames for nine
-    found = spark.createDataFrame([("name", f"m:{c}xo", f"Mr. {c}xo") for c in "ABCDEFGHI"], "kind string, norm string, e string")
+        assert got[i] != texts[i] and re.sub(r"\d", "0", got[i]) == re.sub(r"\d", "0", texts[i])
+    right = lambda x: int("".join(str(int(c, 36)) for c in x[4:] + x[:4])) % 97 == 1
+    assert right(bare(4)) and not right(bare(5))
+    other = {r.doc_id: r.text for r in pii.redact(d, key="another").collect()}
+    assert all(other[i] != got[i] for i in other)
+    monkeypatch.setitem(pii.SYLLABLES, "latin", ["ba"])  # four family names for nine
+    found = spark.createDataFrame([("family", f"x:{c}xo", f"x:{c}xo") for c in "ABCDEFGHI"], "kind string, norm string, e string")
     with pytest.raises(RuntimeError):
         pii.attempts(found, max_rounds=1)
 
 
-def test_units(docs):
-    got = substrings.dedup_units(docs).collect()
-    assert sorted((r.doc_id or 0, r.n_removed) for r in got if r.doc_id in (1, 2)) == [(1, 0), (2, 1), (2, 1)]
-    assert substrings.dedup_units(docs.limit(0)).count() == 0
+NAMES = ["Mr. John Smith", "Mr John Smith", "Mrs. John Smith", "Mrs. Smith", "Herr Smith", "Mr. John McSmith", "Frau Anne-Marie Smith", "господин Иван Петров", "κύριος Νίκος Παππάς"]
+
+
+def test_pii_names(spark):
+    """Parts of names are replaced one by one: distinct, and the same in all names, also where some collided."""
+    d = spark.createDataFrame([(i, n, "x") for i, n in enumerate(NAMES)], "doc_id long, text string, p_ents string")
+    got = {r.doc_id: r.text.split(" ") for r in pii.redact(d).collect()}
+    assert got[0][1:] == got[1][1:] and got[0][1] != got[2][1] and got[0][2] == got[2][2] == got[3][1] == got[4][1] == got[6][2] != got[5][2]
+    assert re.fullmatch(r"[A-Z][a-z]+-[A-Z][a-z]+", got[6][1]) and re.fullmatch(r"[а-я]+", got[7][1].lower()) and re.fullmatch(r"\p{IsGreek}+".replace(r"\p{IsGreek}", "[α-ωάς]"), got[8][1].lower())
+    parts = {w for t in NAMES for w in re.split(r"[ -]", t)[1:]}
+    assert not parts & {w for t in got.values() for w in re.split("-", " ".join(t[1:]))}
+
+
+@pytest.mark.parametrize("max_literal", [0, 5000])
+def test_pii_collisions(spark, monkeypatch, max_literal):
+    """Few syllables, so that names collide: each part still has one surrogate of its own, in repeated and null-id rows too."""
+    monkeypatch.setitem(pii.SYLLABLES, "latin", ["ba", "be", "bo"])
+    names = [f"Mr. A{chr(97 + i % 5)}xan T{chr(97 + i // 5)}{chr(97 + i % 7)}ver" for i in range(35)]
+    rows = [(None if i % 3 else i, n) for i, n in enumerate(names)] * 2
+    got = [r.text for r in pii.redact(spark.createDataFrame(rows, "doc_id long, text string"), max_literal=max_literal).collect()]
+    assert len(got) == 70 and len(set(got)) == 35 and not set(got) & set(names)
+    assert len({g.split()[1] for g in got}) == 5 and len({g.split()[2] for g in got}) == len({n.split()[2] for n in names})
+
+
+UNIT_ROWS = [
+    (3, "A b c. D e f g!  Tail one", "keep", 7.0),
+    (1, "a  B c. d e F g! Other end\n\nx", "keep", 7.0),
+    (2, None, "keep", None),
+    (4, "", "keep", None),
+    (5, " \n. \n", "keep", None),
+    (None, "D e f g!\nA b c. tail One", "keep", None),
+    (6, "short. D e f g! alone. " + "w " * 40, None, None),
+    (6, "short. D e f g! alone. " + "w " * 40, None, None),
+]
+
+
+def brute_units(rows, unit, min_run):
+    """By the docstring, text by text; rows in the order of their ranks."""
+    cut_at = {"line": r"(?<=\n)", "sentence": r"(?<=\n)|(?<=[.!?][ \t])"}[unit]
+    seen, out = set(), {}
+    for i in sorted(range(len(rows)), key=lambda i: (rows[i][0] is None, rows[i][0] or 0, i)):
+        text = rows[i][1]
+        us = [u for u in re.split(cut_at, text or "") if u]
+        again, run, runs = [], [], []
+        for k, u in enumerate(us):
+            key = " ".join(u.lower().split())
+            if not key:
+                continue
+            if key in seen:
+                run.append(k)
+            else:
+                runs.append(run)
+                run = []
+            again.append(key)
+            seen.add(key)
+        gone = {k for r in [*runs, run] if sum(len(us[k].split()) for k in r) >= min_run for k in r}
+        at = np.cumsum([0, *map(len, us)])
+        out[i] = (text if text is None else "".join(u for k, u in enumerate(us) if k not in gone), len(us), [(int(at[k]), len(us[k])) for k in sorted(gone)])
+    return out
+
+
+@pytest.mark.parametrize("unit,min_run", [("line", 1), ("sentence", 1), ("sentence", 7), ("sentence", 50)])
+def test_units(spark, unit, min_run):
+    d = spark.createDataFrame(UNIT_ROWS, "doc_id long, text string, rank string, row_id double").coalesce(1)
+    got = substrings.dedup_units(d, unit, min_run)
+    assert got.columns == ["doc_id", "text", "rank", "row_id", "n_units", "n_removed", "removed"]
+    want = brute_units(UNIT_ROWS, unit, min_run)
+    have = sorted((repr((r.doc_id, r.text, r.rank, r.row_id)), r.n_units, r.n_removed, [tuple(x) for x in r.removed]) for r in got.collect())
+    assert have == sorted((repr((UNIT_ROWS[i][0], t, *UNIT_ROWS[i][2:])), n, len(s), s) for i, (t, n, s) in want.items())
+    assert substrings.dedup_units(d.limit(0), unit).count() == 0
+
+
+def test_units_of_a_text():
+    text = "One. Two!\nthree\n\n \nfour? 5.6 seven.\t\neight."
+    split = lambda k: [m.group() for m in substrings.UNITS[k].finditer(text)]
+    assert split("line") == ["One. Two!\n", "three\n", "\n", " \n", "four? 5.6 seven.\t\n", "eight."]
+    assert split("sentence") == ["One. ", "Two!\n", "three\n", "\n", " \n", "four? ", "5.6 seven.\t", "\n", "eight."]
+    assert split("paragraph") == ["One. Two!\nthree\n\n \n", "four? 5.6 seven.\t\neight."]
+    for k in substrings.UNITS:
+        for t in ("", "\n", "a\n", "\n\na\n\n\n", "a\nb", "..", ". ", "a\n \n"):
+            assert "".join(m.group() for m in substrings.UNITS[k].finditer(t)) == t
 
 
 def brute(texts, length=200):
