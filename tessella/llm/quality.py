@@ -134,3 +134,26 @@ def op9_query(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     trusted = spark.read.parquet(f"{sf_dir}/labels.parquet").where("quality = 1").select("doc_id")
     return judge(docs, trusted).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", F.round("llr", 6).alias("llr"), "kept")
+
+
+BASE_COLUMNS = ("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed")
+
+
+def base_query(spark, sf_dir: str) -> DataFrame:
+    """The base filter's part of op9, which SQL can express."""
+    return base_counts(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")).select(*BASE_COLUMNS)
+
+
+BASE_SQL = r"""
+with w as (
+  select doc_id, coalesce(text, '') as text, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') as ws from documents),
+g as (select doc_id, i, array_to_string(ws[i:i + 7], ' ') as g from (select doc_id, ws, unnest(range(1, len(ws) - 6)) as i from w where len(ws) >= 8)),
+r as (select doc_id, i from (select *, count(*) over (partition by doc_id, g) as n from g) where n > 1),
+c as (select doc_id, count(distinct i + k) as n from r, range(0, 8) t(k) group by doc_id),
+l as (select doc_id, list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) as ls from w)
+select w.doc_id, len(ws)::bigint as n_words, length(regexp_replace(text, '[\x20\x09-\x0D]+', '', 'g'))::bigint as word_chars,
+       (length(text) - length(regexp_replace(text, '[#*$%&|<>]+', '', 'g')))::bigint as n_symbols,
+       (len(ls) - len(list_distinct(ls)))::bigint as n_dup_lines, coalesce(c.n, 0)::bigint as n_repeat_words,
+       len(ws) < 20 or 100 * coalesce(c.n, 0) > 30 * len(ws) as base_failed
+from w join l using (doc_id) left join c using (doc_id)
+"""

@@ -14,7 +14,9 @@ QUERIES = {
     "op7_mixing": mixing.op7_query,
     "op7_curriculum": mixing.op7_curriculum_query,
     "op8_vectors": embeddings.op8_query,
+    "op8_planted": embeddings.planted_query,
     "op9_quality": quality.op9_query,
+    "op9_base": quality.base_query,
     "op10_html_text": htmltext.op10_query,
 }
 
@@ -22,5 +24,7 @@ ORACLES = {
     "op2_neardup": neardup.ORACLE_SQL,
     "op4_units": substrings.ORACLE_SQL,
     "op8_vectors": embeddings.ORACLE_SQL,
+    "op8_planted": embeddings.PLANTED_SQL,
     "op7_mixing": mixing.ORACLE_SQL,
+    "op9_base": quality.BASE_SQL,
 }
