@@ -6,6 +6,11 @@ characters, tags and link tags; an element's density sum is the sum over its
 children. The subtree with the greatest density sum is the seed of the article,
 and the least density on the path from it to body is the threshold that its
 parts and its surroundings must reach.
+
+What names, roles and classes say of an element is a hint. An element that is
+hinted to be no part of the article counts as such unless it is a wrapper: it
+holds the page's marked article, or nearly all of its text, or most of it with
+the main heading.
 """
 
 from __future__ import annotations
@@ -23,46 +28,57 @@ RAW = frozenset("script style noscript template iframe object svg math canvas te
 RAW_END = {x: re.compile(rf"</{x}(?=[\s/>])[^>]*(?:>|\Z)", re.I) for x in RAW}
 BLOCK = frozenset("address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form frameset h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol optgroup option p pre section summary table tbody td tfoot th thead tr ul".split())
 CLOSES_P = BLOCK - frozenset("body html caption dd dt legend li optgroup option tbody td tfoot th thead tr frameset".split())
-DROPPED = RAW | frozenset("head nav aside footer form button select dialog menu input label audio video map applet".split())
+DROPPED = RAW | frozenset("head nav aside footer button select dialog menu input audio video map applet".split())
+HINTED = frozenset("form header".split())
 ROLES = frozenset("navigation banner contentinfo complementary search dialog alert menu menubar form".split())
 NOISE = re.compile(r"(?:^|[-_\s])(?:ads?|adverts?|advertisement|advertising|sponsored|sponsor|promos?|promotion|sidebar|side-bar|menu|navbar|nav|navigation|breadcrumbs?|footer|masthead|cookies?|consent|notices?|banner|popup|modal|overlay|newsletter|subscribe|share|sharing|social|related|recommended|comments?|comment-list|disqus|respond|widget|toolbar|pagination|pager|skip-link|legal|disclaimer|copyright|gdpr|alert|login|signup)(?:[-_\s]|\d*$)", re.I)
-TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|</?[a-zA-Z](?:[^>\"']|\"[^\"]*(?:\"|\Z)|'[^']*(?:'|\Z))*(?:>|\Z)|[^<]+|<", re.S)
+#: Attributes as the standard reads them: a quote ends a value only where one began it.
+ATTRIBUTES = r"""(?:[\s/]++|[^\s/>=][^\s/>=]*+(?:\s*+=\s*+(?:"[^"]*+(?:"|\Z)|'[^']*+(?:'|\Z)|[^\s>"'][^\s>]*+)?)?|=[^\s/>=]*+)*+"""
+TOKEN = re.compile(rf"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|</?[a-zA-Z][^\s/>]*+{ATTRIBUTES}(?:>|\Z)|[^<]+|<", re.S)
 NAME = re.compile(r"</?([a-zA-Z][^\s/>]*)")
-ATTRIBUTE = re.compile(r"\b(class|id|role|hidden|aria-hidden|style)\b(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>\"']+)))?", re.I)
+ATTRIBUTE = re.compile(r"""(?<=[\s/"'])(class|id|role|hidden|aria-hidden|style)(?=[\s/>=]|\Z)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>"'][^\s>]*)))?""", re.I)
 SPACE = re.compile(r"\s+")
 #: What an end tag of this kind may not close across.
 SCOPE = {"p": frozenset("td th table caption button".split()), "li": frozenset(("ul", "ol", "menu")), "dt": frozenset(("dl",)), "dd": frozenset(("dl",)), "tr": frozenset(("table",)), "td": frozenset(("tr", "table")), "th": frozenset(("tr", "table")), "option": frozenset(("select",))}
 SIBLINGS = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
 
 
+#: Shares of a page's text outside links that make a hinted element a wrapper, the second one together with the main heading.
+WRAPS, HEADED = 0.9, 0.5
+#: Share of a marked article's text in parts that reach the threshold from which the mark is followed.
+MARKED = 0.5
+
+
 class Node:
-    __slots__ = ("name", "parent", "parts", "drop", "chars", "tags", "link_chars", "link_tags", "density", "total")
+    __slots__ = ("name", "parent", "parts", "drop", "hint", "chars", "tags", "link_chars", "link_tags", "density", "total")
 
-    def __init__(self, name: str, parent: Node | None, drop: bool):
-        self.name, self.parent, self.parts, self.drop = name, parent, [], drop
+    def __init__(self, name: str, parent: Node | None, drop: bool, hint: bool = False):
+        self.name, self.parent, self.parts, self.drop, self.hint = name, parent, [], drop, hint
+        self.clear()
+
+    def clear(self) -> None:
         self.chars = self.tags = self.link_chars = self.link_tags = 0
         self.density = self.total = 0.0
 
+    def children(self) -> list[Node]:
+        return [p for p in self.parts if isinstance(p, Node) and not p.drop]
+
 
-def noisy(name: str, tag: str, inside_article: bool) -> bool:
-    """Whether an element is no part of an article by its name or attributes."""
+def noise(name: str, tag: str, inside_article: bool) -> tuple[bool, bool]:
+    """Whether an element is no part of an article, and whether its name or attributes hint at that."""
     if name in DROPPED:
-        return True
-    if name == "header":
-        return not inside_article
+        return True, False
+    hint = name == "form" or name == "header" and not inside_article
     if name in ("html", "body", "article", "main"):
-        return False
+        return False, False
     for key, a, b, c in ATTRIBUTE.findall(tag[len(name) + 1 :]) if len(tag) > len(name) + 2 else ():
         key, value = key.lower(), a or b or c
         if key == "hidden" or key == "aria-hidden" and value == "true":
-            return True
+            return True, False
         if key == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I):
-            return True
-        if key == "role" and value.lower() in ROLES:
-            return True
-        if key in ("class", "id") and NOISE.search(value):
-            return True
-    return False
+            return True, False
+        hint = hint or key == "role" and value.lower() in ROLES or key in ("class", "id") and NOISE.search(value) is not None
+    return False, hint
 
 
 def parse(page: str) -> Node:
@@ -121,7 +137,7 @@ def parse(page: str) -> Node:
             at = at.parent
         if at.name == "head" and name in BLOCK:
             at = at.parent
-        node = Node(name, at, noisy(name, t, articles > 0))
+        node = Node(name, at, *noise(name, t, articles > 0))
         at.parts.append(node)
         if not t.endswith("/>") or name in BLOCK:
             at = node
@@ -134,16 +150,16 @@ def measure(root: Node) -> list[Node]:
     order, stack = [], [root]
     while stack:
         n = stack.pop()
+        n.clear()
         order.append(n)
-        stack += [p for p in n.parts if isinstance(p, Node) and not p.drop]
+        stack += n.children()
     for n in reversed(order):
         n.chars = sum(len("".join(p.split())) for p in n.parts if isinstance(p, str))
-        for p in n.parts:
-            if isinstance(p, Node) and not p.drop:
-                n.chars += p.chars
-                n.tags += p.tags + 1
-                n.link_chars += p.chars if p.name == "a" else p.link_chars
-                n.link_tags += p.link_tags + (p.name == "a")
+        for p in n.children():
+            n.chars += p.chars
+            n.tags += p.tags + 1
+            n.link_chars += p.chars if p.name == "a" else p.link_chars
+            n.link_tags += p.link_tags + (p.name == "a")
     body_chars, body_links = max(1, root.chars), root.link_chars
     for n in order:
         c, t, lc, lt = n.chars, max(1, n.tags), n.link_chars, n.link_tags
@@ -153,31 +169,55 @@ def measure(root: Node) -> list[Node]:
         base = math.log(c / plain * lc + body_links / body_chars * c + math.e)
         n.density = c / t * math.log(max(1.0 + 1e-9, (c / max(1, lc)) * (t / max(1, lt)))) / math.log(max(base, 1.0) + math.e - 1)
     for n in order:
-        n.total = sum(p.density for p in n.parts if isinstance(p, Node) and not p.drop)
+        n.total = sum(p.density for p in n.children())
     return order
 
 
+def drop_hinted(root: Node) -> None:
+    """Drop the hinted elements that are no wrappers."""
+    order = measure(root)
+    if not any(n.hint for n in order):
+        return
+    marked, headed = set(), set()
+    for n in reversed(order):
+        if n.name in ("article", "main") and not n.hint or any(p in marked for p in n.children()):
+            marked.add(n)
+        if n.name == "h1" or any(p in headed for p in n.children()):
+            headed.add(n)
+    text = max(1, root.chars - root.link_chars)
+    for n in order:
+        if n.hint:
+            share = (n.chars - n.link_chars) / text
+            n.drop = not (n in marked or share >= WRAPS or share >= HEADED and n in headed)
+
+
 def choose(root: Node) -> list[Node]:
     """The subtree that holds the article.
 
-    The seed is the element with the greatest density sum. It is widened to its
-    parent while nearly all of the parent's text lies in children that reach the
-    threshold, the least density on the path from the seed to body; or as far as
-    the nearest element that the page itself marks as its article.
+    The seed is the element with the greatest density sum, and the threshold the
+    least density on the path from it to body. The seed is widened to its parent
+    while nearly all of the parent's text lies in children that reach the
+    threshold; and to the nearest element that the page marks as its article, if
+    at least MARKED of that one's text does.
     """
+    drop_hinted(root)
     order = measure(root)
     best = max(order, key=lambda n: n.total, default=root)
     if not best.total:
         return [root]
     path = [best, *ancestors(best)]
     threshold = min((p.density for p in path if p.name != "html" and p.density > 0), default=0.0)
+
+    def share(p: Node) -> float:
+        own = sum(len("".join(x.split())) for x in p.parts if isinstance(x, str)) if p is best else 0
+        return (own + sum(c.chars for c in p.children() if c.density >= threshold or c.name[0] == "h" and c.name[1:].isdigit())) / max(1, p.chars)
+
     marked = next((p for p in path if p.name in ("article", "main")), None)
-    if marked is not None:
+    if marked is not None and share(marked) >= MARKED:
         return [marked]
     top = best
     for p in path[1:]:
-        inside = sum(c.chars for c in p.parts if isinstance(c, Node) and not c.drop and (c.density >= threshold or c.name[0] == "h" and c.name[1:].isdigit()))
-        if inside < 0.95 * p.chars:
+        if share(p) < 0.95:
             break
         top = p
     return [top]
