@@ -18,10 +18,10 @@ from functools import lru_cache
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import cut
+from .shared import cut, unused
 
 # Letters of the model, and what a sign may stand for in a disguise.
 LETTERS = "abcdefghijklmnopqrstuvwxyzàáâãäåæçèéêëìíîïñòóôõöøùúûüýßœ"
@@ -35,7 +35,7 @@ COST_WORD = 2.0
 #: Labelled rows that the model is fitted on, at most: those with the smallest hash of their id.
 MAX_LABELLED = 40_000
 #: Features in the model, at most, and the least log-likelihood ratio statistic and count of one.
-MAX_FEATURES, LEAST_G, LEAST_COUNT = 20_000, 25.0, 6
+MAX_FEATURES, LEAST_G, LEAST_COUNT = 20_000, 11.0, 3
 
 SIGNS = re.escape("".join(STANDS_FOR))
 LETTER = r"[^\W\d_]"
@@ -186,7 +186,8 @@ def features(words: set[str]) -> set[str]:
 
 
 def held_out(doc_id):
-    return F.pmod(F.crc32(doc_id.cast("string").cast("binary")), F.lit(5)) == 0
+    """Whether crc32 of the id as text is 0 modulo 5; a null id counts as empty text, so it is held out."""
+    return F.pmod(F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")), F.lit(5)) == 0
 
 
 def counted(docs: DataFrame, restorer: np.ndarray, only=None) -> dict[str, tuple[int, int]]:
@@ -217,7 +218,10 @@ def counted(docs: DataFrame, restorer: np.ndarray, only=None) -> dict[str, tuple
             yield flush()
 
     got = docs.select("text", "toxic").mapInPandas(run, "f string, bad long, n long").groupBy("f").agg(F.sum("bad").alias("bad"), F.sum("n").alias("n"))
-    return {r["f"]: (r["bad"], r["n"]) for r in got.where(F.col("bad") >= LEAST_COUNT).collect()}
+    out = {r["f"]: (r["bad"], r["n"]) for r in got.where(F.col("bad") >= LEAST_COUNT).collect()}
+    model.destroy()
+    wanted.destroy()
+    return out
 
 
 def ratio(bad: int, n: int, all_bad: int, rows: int) -> float:
@@ -288,18 +292,15 @@ def fit(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED) ->
             yield pd.DataFrame({"key": p["key"].astype(object), "toxic": p["toxic"], "at": found})
 
     got = sorted(rows.mapInPandas(active, "key string, toxic boolean, at array<int>").collect(), key=lambda r: r["key"])
+    lm.destroy()
+    where.destroy()
     w, b = logistic([np.array(r["at"], int) for r in got], np.array([float(r["toxic"]) for r in got]), len(chosen))
     return Model(language, {f: float(w[i]) for f, i in place.items()}, float(b))
 
 
-def score(docs: DataFrame, model: Model) -> DataFrame:
-    """docs with score, predicted and n_restored, one row for each.
-
-    Null and empty texts have no features and get the score of the bias; equal
-    texts get equal scores; null ids make no difference; an empty table gives an
-    empty result; columns named like the result's are replaced.
-    """
-    bc = docs.sparkSession.sparkContext.broadcast(model)
+def scorer(spark: SparkSession, model: Model):
+    """A function of a text column to (score, n_restored)."""
+    bc = spark.sparkContext.broadcast(model)
 
     @F.pandas_udf("score double, n_restored long")
     def scored(text: pd.Series) -> pd.DataFrame:
@@ -312,9 +313,27 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
             out.append((m.score(w), n))
         return pd.DataFrame(out, columns=["score", "n_restored"]).astype({"score": "float64", "n_restored": "int64"})
 
-    out = docs.withColumn("t_scored", scored("text"))
+    return scored
+
+
+def score(docs: DataFrame, model: Model) -> DataFrame:
+    """docs with score, predicted and n_restored, one row for each.
+
+    Null and empty texts have no features and get the score of the bias; equal
+    texts get equal scores; null ids make no difference; an empty table gives an
+    empty result; columns named like the result's are replaced.
+    """
+    at = unused(docs, "t_scored")
+    out = docs.withColumn(at, scorer(docs.sparkSession, model)("text"))
     columns = [c for c in docs.columns if c not in ("score", "predicted", "n_restored")]
-    return out.select(*columns, F.col("t_scored.score").alias("score"), (F.col("t_scored.score") >= 0.5).cast("int").alias("predicted"), F.col("t_scored.n_restored").alias("n_restored"))
+    return out.select(*columns, F.col(f"{at}.score").alias("score"), (F.col(f"{at}.score") >= 0.5).cast("int").alias("predicted"), F.col(f"{at}.n_restored").alias("n_restored"))
+
+
+def clean_rows(docs: DataFrame, model: Model) -> DataFrame:
+    """The rows of docs that the model does not reject; nulls, repeated rows and empty tables as in score(), any column names."""
+    at = unused(docs, "t_scored")
+    out = docs.withColumn(at, scorer(docs.sparkSession, model)("text")).where(F.col(f"{at}.score") < 0.5)
+    return out.select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def crc(doc_id) -> int:
