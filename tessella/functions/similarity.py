@@ -2,7 +2,7 @@
 
 Set and Levenshtein measures are native. Jaro-Winkler and the ratios over the
 longest common subsequence have no native form; they run as Arrow functions over
-distinct string pairs.
+batches, which compare a pair of strings once.
 """
 
 from __future__ import annotations
@@ -14,6 +14,7 @@ from pyspark.sql.types import DoubleType, StructField, StructType
 
 from .text import transliterate
 
+# The features and their order.
 FEATURES = [
     "name_exact", "name_core_exact", "name_sorted_exact", "name_lev", "name_jaro", "name_token_sort_ratio", "name_token_set_ratio", "name_wratio",
     "name_token_jaccard", "name_token_overlap", "name_rare_token_overlap", "name_token_count_diff", "name_length_ratio",
@@ -147,9 +148,10 @@ def jaro_winkler(a: pd.Series, b: pd.Series) -> pd.Series:
 
 @F.pandas_udf(StructType([StructField(n, DoubleType()) for n in PYTHON_FEATURES[:5]]))
 def string_ratios(a: pd.Series, b: pd.Series, x: pd.Series, y: pd.Series) -> pd.DataFrame:
-    rows = [(jaro_winkler_of(p, q), token_sort(p, q) / 100, token_set(p, q) / 100, weighted(p, q) / 100) if p and q else (0.0,) * 4 for p, q in zip(a, b, strict=True)]
-    out = pd.DataFrame(rows, columns=["name_jaro", "name_token_sort_ratio", "name_token_set_ratio", "name_wratio"], dtype="float64")
-    return out.assign(addr_token_sort_ratio=[token_sort(p, q) / 100 if p and q else 0.0 for p, q in zip(x, y, strict=True)])
+    names = {k: (jaro_winkler_of(*k), token_sort(*k) / 100, token_set(*k) / 100, weighted(*k) / 100) if all(k) else (0.0,) * 4 for k in set(zip(a, b, strict=True))}
+    places = {k: token_sort(*k) / 100 if all(k) else 0.0 for k in set(zip(x, y, strict=True))}
+    out = pd.DataFrame([names[k] for k in zip(a, b, strict=True)], columns=["name_jaro", "name_token_sort_ratio", "name_token_set_ratio", "name_wratio"], dtype="float64")
+    return out.assign(addr_token_sort_ratio=[places[k] for k in zip(x, y, strict=True)])
 
 
 def safe(c: Column) -> Column:

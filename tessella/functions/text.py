@@ -7,6 +7,7 @@ native functions, so it stays inside generated code and is pushed with the scan.
 from __future__ import annotations
 
 import unicodedata
+from functools import lru_cache
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -160,6 +161,7 @@ def normalize_baseline(df: DataFrame) -> DataFrame:
 VOWEL_SIGNS = {"VIRAMA": "", "PULLI": ""}
 
 
+@lru_cache(maxsize=10_000)
 def romanised(ch: str) -> str:
     if ord(ch) < 128:
         return ch
@@ -222,8 +224,11 @@ def char_ngrams(c: Column, low: int = 2, high: int = 4) -> Column:
     def of(w: Column) -> Column:
         p = F.concat(F.lit(" "), w, F.lit(" "))
         n = F.length(p)
-        parts = [F.when(n >= k, F.transform(F.sequence(F.lit(1), n - k + 1), lambda i, k=k: F.substring(p, i, F.lit(k)))).otherwise(F.array(p) if k == low else F.array().cast("array<string>")) for k in range(low, high + 1)]
-        return F.concat(*parts)
+
+        def grams(k: int) -> Column:
+            return F.when(n >= k, F.transform(F.sequence(F.lit(1), n - k + 1), lambda i: F.substring(p, i, F.lit(k)))).otherwise(F.array(p) if k == low else F.array().cast("array<string>"))
+
+        return F.concat(*[grams(k) for k in range(low, high + 1)])
 
     return F.flatten(F.transform(tokens(squeeze(c)), of))
 

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from ..functions.similarity import jaro_winkler
 from ..functions.text import GENERIC_WORDS, acronym, char_ngrams, is_non_ascii, locality, script_set, transliterate, word_ngrams
+from .candidates import prune_legacy
 
 EVERYWHERE = "*"
 
@@ -26,9 +27,10 @@ def routed(queries: DataFrame, targets: DataFrame) -> DataFrame:
     return out.withColumn("route", F.coalesce("known", F.lit(EVERYWHERE))).drop("known")
 
 
-def both_routes(postings: DataFrame) -> DataFrame:
-    """Postings (country_norm, key, cand_id) under their country and everywhere."""
-    return postings.select(F.explode(F.array("country_norm", F.lit(EVERYWHERE))).alias("route"), "key", "cand_id")
+def both_routes(postings: DataFrame, queries: DataFrame) -> DataFrame:
+    """Postings (country_norm, key, cand_id) under their country and everywhere, as far as queries have such a route."""
+    routes = queries.select("route").distinct()
+    return postings.select(F.explode(F.array("country_norm", F.lit(EVERYWHERE))).alias("route"), "key", "cand_id").join(routes, "route", "left_semi")
 
 
 def capped(postings: DataFrame, cap: int | None) -> DataFrame:
@@ -45,7 +47,7 @@ def keys_of(df: DataFrame, keys: Column, *more: str) -> DataFrame:
 
 def key_join(queries: DataFrame, targets: DataFrame, query_keys: Column, target_keys: Column, cap: int | None = None) -> DataFrame:
     q = keys_of(routed(queries, targets), query_keys, "route").select(F.col("entity_id").alias("s1_id"), "route", "key")
-    t = both_routes(keys_of(targets, target_keys).select("country_norm", "key", F.col("entity_id").alias("cand_id")))
+    t = both_routes(keys_of(targets, target_keys).select("country_norm", "key", F.col("entity_id").alias("cand_id")), q)
     return q.join(capped(t, cap), ["route", "key"]).select("s1_id", "cand_id").distinct()
 
 
@@ -102,10 +104,10 @@ def by_address(queries, targets, cap: int = 30, pin=False, pin_number=True, pin_
     return out.distinct()
 
 
-def rare_candidates(df: DataFrame, min_length: int) -> DataFrame:
-    """(entity_id, country_norm, token) for the tokens that may be rare."""
+def rare_candidates(df: DataFrame, min_length: int, *more: str) -> DataFrame:
+    """(entity_id, country_norm, ..., token) for the tokens that may be rare."""
     some = F.filter("name_informative_tokens", lambda t: (F.length(t) >= min_length) & ~t.isin(*GENERIC_WORDS))
-    return df.select("entity_id", "country_norm", F.explode(F.array_distinct(some)).alias("token"))
+    return df.select("entity_id", "country_norm", *more, F.explode(F.array_distinct(some)).alias("token"))
 
 
 def document_frequency(tokens: DataFrame) -> DataFrame:
@@ -123,8 +125,8 @@ def rare_tokens(queries, targets, max_df: int = 200, n: int = 2, min_length: int
     """Pairs that share a token which is among the n rarest of both."""
     t = rare_candidates(targets, min_length)
     df = document_frequency(t)
-    q = rarest(rare_candidates(routed(queries, targets), min_length).join(routed(queries, targets).select("entity_id", "route"), "entity_id"), df, max_df, n)
-    post = both_routes(rarest(t, df, max_df, n).select("country_norm", F.col("token").alias("key"), F.col("entity_id").alias("cand_id")))
+    q = rarest(rare_candidates(routed(queries, targets), min_length, "route"), df, max_df, n)
+    post = both_routes(rarest(t, df, max_df, n).select("country_norm", F.col("token").alias("key"), F.col("entity_id").alias("cand_id")), routed(queries, targets))
     return q.select(F.col("entity_id").alias("s1_id"), "route", F.col("token").alias("key")).join(capped(post, cap), ["route", "key"]).select("s1_id", "cand_id").distinct()
 
 
@@ -163,11 +165,16 @@ def best_by_jaccard(queries, targets, threshold: float = 0.85, denominator: str
 # similarity retrieval
 
 
-def weights(terms: DataFrame, vocabulary: DataFrame) -> DataFrame:
-    """(id, term, w): sublinear tf-idf over a vocabulary (term, idf), rows of length 1; other terms are dropped first."""
-    w = terms.groupBy("id", "term").agg(F.count(F.lit(1)).alias("tf")).join(vocabulary, "term").withColumn("w", (1 + F.log("tf")) * F.col("idf"))
+#: Targets that share a term in one task; the postings of a more frequent term are split.
+HEAVY = 20_000
+
+
+def weights(terms: DataFrame, vocabulary: DataFrame, sublinear: bool = True) -> DataFrame:
+    """(id, term, parts, w): tf-idf over a vocabulary (term, idf, parts), rows of length 1; other terms are dropped first."""
+    tf = 1 + F.log("tf") if sublinear else F.col("tf")
+    w = terms.groupBy("id", "term").agg(F.count(F.lit(1)).alias("tf")).join(vocabulary, "term").withColumn("w", tf * F.col("idf"))
     norm = w.groupBy("id").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
-    return w.join(norm, "id").select("id", "term", (F.col("w") / F.col("norm")).alias("w"))
+    return w.join(norm, "id").select("id", "term", "parts", (F.col("w") / F.col("norm")).alias("w"))
 
 
 def retrieve(queries, targets, ngrams, k: int = 20, least: float = 0.25, min_df: int = 2, max_df: float = 0.9, reverse: int = 0, mode: str = "union", sublinear: bool = True) -> DataFrame:
@@ -176,17 +183,20 @@ def retrieve(queries, targets, ngrams, k: int = 20, least: float = 0.25, min_df:
     ngrams maps a name column to its terms. reverse > 0 also finds each target's
     best queries; mode union adds them, mutual keeps pairs found both ways. Ties
     go to the smaller id. Frequencies are those of all targets; the join on
-    terms is spread by route and term and summed on the map side.
+    terms is spread by route and term, the postings of a term that more than
+    HEAVY targets have by candidate as well, and summed on the map side.
     """
     terms = lambda d: d.select(F.col("entity_id").alias("id"), F.explode(ngrams(F.col("name_clean"))).alias("term"))
     t = terms(targets)
     n = targets.agg(F.count(F.lit(1)).alias("n"))
     df = t.groupBy("term").agg(F.countDistinct("id").alias("df")).crossJoin(F.broadcast(n))
-    vocabulary = df.where((F.col("df") >= min_df) & (F.col("df") <= max_df * F.col("n"))).select("term", (F.log((1 + F.col("n")) / (1 + F.col("df"))) + 1).alias("idf"))
-    wt = weights(t, vocabulary).join(targets.select(F.col("entity_id").alias("id"), "country_norm"), "id")
-    wt = wt.select(F.explode(F.array("country_norm", F.lit(EVERYWHERE))).alias("route"), "term", F.col("id").alias("cand_id"), F.col("w").alias("wt"))
-    wq = weights(terms(queries), vocabulary).join(routed(queries, targets).select(F.col("entity_id").alias("id"), "route"), "id").select("route", "term", F.col("id").alias("s1_id"), "w")
-    s = wq.join(wt, ["route", "term"]).groupBy("s1_id", "cand_id").agg(F.sum(F.col("w") * F.col("wt")).alias("score")).where(F.col("score") >= least)
+    vocabulary = df.where((F.col("df") >= min_df) & (F.col("df") <= max_df * F.col("n"))).select("term", (F.log((1 + F.col("n")) / (1 + F.col("df"))) + 1).alias("idf"), F.ceil(F.col("df") / HEAVY).cast("int").alias("parts"))
+    mine = routed(queries, targets).select(F.col("entity_id").alias("id"), "route")
+    wt = weights(t, vocabulary, sublinear).join(targets.select(F.col("entity_id").alias("id"), "country_norm"), "id")
+    wt = wt.select(F.explode(F.array("country_norm", F.lit(EVERYWHERE))).alias("route"), "term", F.pmod(F.xxhash64("id"), "parts").cast("int").alias("part"), F.col("id").alias("cand_id"), F.col("w").alias("wt"))
+    wt = wt.join(mine.select("route").distinct(), "route", "left_semi")
+    wq = weights(terms(queries), vocabulary, sublinear).join(mine, "id").select("route", "term", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.col("id").alias("s1_id"), "w")
+    s = wq.join(wt, ["route", "term", "part"]).groupBy("s1_id", "cand_id").agg(F.sum(F.col("w") * F.col("wt")).alias("score")).where(F.col("score") >= least)
     s = s.withColumn("score", F.round("score", 9))
     ahead = F.row_number().over(Window.partitionBy("s1_id").orderBy(F.desc("score"), "cand_id")) <= k
     if not reverse:
@@ -216,8 +226,8 @@ def soft_tokens(queries, targets, max_df: int = 100, min_length: int = 5, least:
     q = some(queries).select("token").distinct().select(F.col("token").alias("qt"), F.substring("token", 1, 3).alias("p"))
     near = q.join(df.select(F.col("token").alias("tt"), F.substring("token", 1, 3).alias("p")), "p").where((F.col("qt") != F.col("tt")) & (F.abs(F.length("qt") - F.length("tt")) <= 3))
     near = near.withColumn("s", jaro_winkler("qt", "tt")).where(F.col("s") >= least).select("qt", F.col("tt").alias("key"))
-    post = capped(both_routes(t.select("country_norm", F.col("token").alias("key"), F.col("entity_id").alias("cand_id"))), cap)
     mine = routed(queries, targets).select("entity_id", "route").join(some(queries).select("entity_id", F.col("token").alias("qt")), "entity_id")
+    post = capped(both_routes(t.select("country_norm", F.col("token").alias("key"), F.col("entity_id").alias("cand_id")), mine), cap)
     return mine.join(near, "qt").join(post, ["route", "key"]).select(F.col("entity_id").alias("s1_id"), "cand_id").distinct()
 
 
@@ -277,8 +287,24 @@ def legacy_ab(queries, targets) -> DataFrame:
     return same(F.array(tag("clean", F.col("name_clean")))).unionByName(same(F.array(with_pin(F.col(NUM))))).distinct()
 
 
-def legacy_candidates(queries, targets) -> DataFrame:
-    """The first generation: names, addresses, rare tokens by percentile, ten neighbours by cosine."""
-    knn = char_retrieval(queries, targets, k=10, least=0.5).select("s1_id", "cand_id")
-    return legacy_ab(queries, targets).unionByName(rare_by_percentile(queries, targets)).unionByName(knn).distinct()
+def legacy_neighbours(queries, targets, k: int = 10, least: float = 0.5) -> DataFrame:
+    """The k nearest targets of all countries by cosine, raw term counts, if near enough."""
+    blank = lambda d: d.withColumn("country_norm", F.lit(""))
+    return char_retrieval(blank(queries), blank(targets), k=k, least=least, sublinear=False)
+
+
+def legacy_candidates(queries, targets, top_k: int = 20, max_cands: int = 50) -> DataFrame:
+    """The first generation: names, addresses, rare tokens by percentile, ten neighbours by cosine; pruned to
+    top_k for queries with more than max_cands."""
+    knn = legacy_neighbours(queries, targets).select("s1_id", "cand_id")
+    every = legacy_ab(queries, targets).unionByName(rare_by_percentile(queries, targets)).unionByName(knn).distinct()
+    return prune_legacy(every, queries, targets, top_k, max_cands).select("s1_id", "cand_id")
+
+
+def stats(pairs: DataFrame, queries: DataFrame, targets: DataFrame) -> DataFrame:
+    """One row about a blocker's result: sizes of both sides, queries with candidates, pairs, mean and most per query."""
+    per = pairs.select("s1_id", "cand_id").distinct().groupBy("s1_id").agg(F.count(F.lit(1)).alias("n"))
+    p = per.agg(F.count(F.lit(1)).alias("with_candidates"), F.coalesce(F.sum("n"), F.lit(0)).alias("pairs"), F.max("n").alias("largest"))
+    n = lambda d, name: d.agg(F.count(F.lit(1)).alias(name))
+    return p.crossJoin(n(queries, "queries")).crossJoin(n(targets, "targets")).withColumn("mean", F.col("pairs") / F.col("queries"))
 

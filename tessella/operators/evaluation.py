@@ -101,16 +101,21 @@ def error_decomposition(truth, candidates, predicted) -> DataFrame:
 
 
 def failure_class(p: str = "a_", q: str = "b_") -> Column:
-    """Why blocking may have missed a true pair, by the first rule that fits."""
-    a, b = (lambda x: F.col(p + x)), (lambda x: F.col(q + x))
+    """Why blocking may have missed a true pair, by the first rule that fits; raw fields of both records."""
+    field = lambda side, x: F.trim(F.coalesce(F.col(side + x), F.lit("")))
+    (na, nb), (aa, ab), (ca, cb) = ([field(side, x) for side in (p, q)] for x in ("business_name", "business_address", "country"))
+    scripts = [script_set(n) for n in (na, nb)]
+    words = [F.filter(F.split(F.lower(n), r"\s+"), lambda x: x != "") for n in (na, nb)]
+    numbers = [F.regexp_extract_all(F.concat(n, F.lit(" "), a), F.lit(r"\b\d+\b"), F.lit(0)) for n, a in ((na, aa), (nb, ab))]
+    alike = lambda x, y: (F.size(F.array_except(x, y)) == 0) & (F.size(F.array_except(y, x)) == 0)
     return (
-        F.when(a("country_norm") != b("country_norm"), "country")
-        .when(script_set(a("name_clean")) != script_set(b("name_clean")), "cross_script")
-        .when(a("addr_is_missing") | b("addr_is_missing"), "missing_address")
-        .when((F.length(a("name_clean")) < 5) | (F.length(b("name_clean")) < 5), "short_name")
-        .when(F.array_sort(a("name_tokens")) == F.array_sort(b("name_tokens")), "reordered")
-        .when(a("addr_primary_num") != b("addr_primary_num"), "numeric")
-        .otherwise("mutation")
+        F.when((ca != "") & (cb != "") & (F.upper(ca) != F.upper(cb)), "country_mismatch")
+        .when((F.size(scripts[0]) > 0) & (F.size(scripts[1]) > 0) & (scripts[0] != scripts[1]), "cross_script")
+        .when(F.lower(ab).isin("", "nan", "none"), "missing_address")
+        .when(((F.length(na) <= 4) | (F.length(nb) <= 4)) & (F.lower(na) != F.lower(nb)), "abbreviation_acronym")
+        .when(alike(*words) & (words[0] != words[1]), "reordered_tokens")
+        .when((F.size(numbers[0]) > 0) & (F.size(numbers[1]) > 0) & ~F.arrays_overlap(*numbers), "numeric_mismatch")
+        .otherwise("severe_lexical_mutation")
     )
 
 
@@ -121,6 +126,12 @@ def decide_threshold(scores: DataFrame, tau: float, inclusive: bool = False) ->
     return scores.where((F.col("score") >= tau) if inclusive else (F.col("score") > tau))
 
 
+def decide_entries(scores: DataFrame, tau: float, inclusive: bool = False) -> DataFrame:
+    """decide_threshold as one row per scored query, also for those without a hit."""
+    every = scores.select(F.col("s1_id").alias("entity_id")).distinct()
+    return match_lists(decide_threshold(scores, tau, inclusive), every)
+
+
 def decide_band(scores: DataFrame, low: float, high: float) -> DataFrame:
     """scores with band: accept, review or reject."""
     return scores.withColumn("band", F.when(F.col("score") >= high, "accept").when(F.col("score") >= low, "review").otherwise("reject"))
@@ -149,13 +160,13 @@ def match_lists(scores: DataFrame, entities: DataFrame) -> DataFrame:
 GRID = tuple(round(0.3 + 0.025 * i, 3) for i in range(27))
 
 
-def tune(scores: DataFrame, truth: DataFrame, entities: DataFrame, grid=GRID) -> DataFrame:
+def tune(scores: DataFrame, truth: DataFrame, entities: DataFrame, grid=GRID, inclusive: bool = False) -> DataFrame:
     """(tau, precision, recall, f05) for every threshold of a grid, in one job."""
     spark = scores.sparkSession
     taus = F.broadcast(spark.createDataFrame([(float(t),) for t in grid], "tau double"))
     pairs = scores.join(truth.select("s1_id", "cand_id").distinct().withColumn("t", F.lit(1)), ["s1_id", "cand_id"], "left")
     n_true = truth.select("s1_id", "cand_id").distinct().groupBy("s1_id").agg(F.count(F.lit(1)).alias("n_true"))
-    got = pairs.crossJoin(taus).where(F.col("score") > F.col("tau")).groupBy("s1_id", "tau").agg(F.count(F.lit(1)).alias("n_pred"), F.coalesce(F.sum("t"), F.lit(0)).alias("n_hit"))
+    got = pairs.crossJoin(taus).where(F.col("score") >= F.col("tau") if inclusive else F.col("score") > F.col("tau")).groupBy("s1_id", "tau").agg(F.count(F.lit(1)).alias("n_pred"), F.coalesce(F.sum("t"), F.lit(0)).alias("n_hit"))
     base = entities.select(F.col("entity_id").alias("s1_id")).join(n_true, "s1_id", "left").crossJoin(taus)
     e = base.join(got, ["s1_id", "tau"], "left").na.fill(0, ["n_true", "n_pred", "n_hit"])
     m = precision_recall(e).groupBy("tau").agg(F.avg("precision").alias("precision"), F.avg("recall").alias("recall"))
@@ -165,3 +176,43 @@ def tune(scores: DataFrame, truth: DataFrame, entities: DataFrame, grid=GRID) ->
 def best_threshold(tuned: DataFrame) -> DataFrame:
     """The first strict maximum of f05."""
     return tuned.orderBy(F.desc(F.round("f05", 9)), "tau").limit(1)
+
+
+HIGH = tuple(round(0.5 + 0.025 * i, 3) for i in range(19))
+LOW = tuple(round(0.2 + 0.025 * i, 3) for i in range(17))
+
+
+def tune_band(scores: DataFrame, truth: DataFrame, entities: DataFrame, high=HIGH, low=LOW) -> DataFrame:
+    """(high, low, precision, recall, f05, review) for every pair of limits, low at most high.
+
+    What lies between the limits is no match, so f05 depends on high alone;
+    review is the number of pairs between them."""
+    spark = scores.sparkSession
+    edges = F.broadcast(spark.createDataFrame([(float(h), float(l)) for h in high for l in low if l <= h], "high double, low double"))
+    accepted = tune(scores, truth, entities, tuple(high), inclusive=True).withColumnRenamed("tau", "high")
+    held = scores.crossJoin(edges).where((F.col("score") >= F.col("low")) & (F.col("score") < F.col("high"))).groupBy("high", "low").agg(F.count(F.lit(1)).alias("review"))
+    return edges.join(accepted, "high").join(held, ["high", "low"], "left").na.fill(0, ["review"])
+
+
+def best_band(tuned: DataFrame) -> DataFrame:
+    """The first strict maximum of f05, by high and then low."""
+    return tuned.orderBy(F.desc(F.round("f05", 9)), "high", "low").limit(1)
+
+
+def metrics_text(m, title: str = "Blocking evaluation") -> str:
+    """One row of blocking_metrics as a report."""
+    lines = [
+        ("pair recall", f"{m['pair_recall']:.2%} of {m['true_pairs']:,} pairs"), ("entity recovery", f"{m['entity_recovery']:.2%}"), ("candidates", f"{m['candidates']:,}"),
+        ("mean per entity", f"{m['mean']:.2f}"), *((f"percentile {p}", f"{m[c]:.0f}") for p, c in ((50, "median"), (90, "p90"), (95, "p95"), (99, "p99"), (99.9, "p999"))),
+        ("largest", f"{m['largest']:,}"), ("reduction ratio", f"{m['reduction_ratio']:.4%}"), ("entities without candidates", f"{m['without_candidates']:,}"), ("singletons", f"{m['singletons']:,}"),
+    ]
+    return "\n".join([title, "=" * len(title), *(f"{k:<28}: {v}" for k, v in lines)])
+
+
+def cross_script_recall(truth: DataFrame, candidates: DataFrame, queries: DataFrame, targets: DataFrame) -> DataFrame:
+    """Of the true pairs whose names are written in different sets of scripts: how many, how many found, and their share (1 without any)."""
+    side = lambda d, k, n: d.select(F.col("entity_id").alias(k), script_set(F.col("name_clean")).alias(n))
+    p = truth.join(side(queries, "s1_id", "x"), "s1_id").join(side(targets, "cand_id", "y"), "cand_id").where("x <> y")
+    p = p.join(candidates.select("s1_id", "cand_id").distinct().withColumn("hit", F.lit(1)), ["s1_id", "cand_id"], "left")
+    n, found = F.count(F.lit(1)), F.count("hit")
+    return p.agg(n.alias("pairs"), found.alias("found"), ratio_or(found, n, 1.0).alias("recall"))

@@ -12,23 +12,25 @@ from pyspark.sql import functions as F
 from ..functions.similarity import FEATURES
 
 
-def classifier(kind: str):
-    """lr, rf or gbt with the settings that the published runs used, where Spark has them."""
+def classifier(kind: str, **settings):
+    """lr, rf or gbt with the settings that the published runs used, where Spark has
+    them; settings overrides them. Trees grow by level here, so a leaf limit has no counterpart."""
     shared = {"featuresCol": "features", "labelCol": "label", "weightCol": "weight"}
     if kind == "lr":
-        return LogisticRegression(maxIter=1000, regParam=1e-4, **shared)
+        return LogisticRegression(**shared | {"maxIter": 1000, "regParam": 1e-4} | settings)
     if kind == "rf":
-        return RandomForestClassifier(numTrees=100, maxDepth=10, seed=42, **shared)
-    return GBTClassifier(maxIter=30, maxDepth=5, stepSize=0.1, subsamplingRate=0.8, featureSubsetStrategy="0.8", minInstancesPerNode=20, seed=42, **shared)
+        return RandomForestClassifier(**shared | {"numTrees": 100, "maxDepth": 10, "seed": 42} | settings)
+    champion = {"maxIter": 300, "maxDepth": 8, "stepSize": 0.05, "subsamplingRate": 0.8, "featureSubsetStrategy": "0.8", "minInstancesPerNode": 20, "seed": 42}
+    return GBTClassifier(**shared | champion | settings)
 
 
-def train(features: DataFrame, kind: str, names: list[str] = FEATURES, balanced: bool = False) -> PipelineModel:
+def train(features: DataFrame, kind: str, names: list[str] = FEATURES, balanced: bool = False, **settings) -> PipelineModel:
     """A model from rows with features and label; balanced weighs classes by their inverse share."""
     d = features if "weight" in features.columns else features.withColumn("weight", F.lit(1.0))
     if balanced:
         n, pos = d.agg(F.count(F.lit(1)), F.sum("label")).first()
         d = d.withColumn("weight", F.when(F.col("label") == 1, n / (2.0 * max(1, pos or 0))).otherwise(n / (2.0 * max(1, n - (pos or 0)))))
-    return Pipeline(stages=[VectorAssembler(inputCols=names, outputCol="features"), classifier(kind)]).fit(d)
+    return Pipeline(stages=[VectorAssembler(inputCols=names, outputCol="features"), classifier(kind, **settings)]).fit(d)
 
 
 def score(model: PipelineModel, features: DataFrame) -> DataFrame:
@@ -55,6 +57,37 @@ def reweighted(features: DataFrame, scores: DataFrame, threshold: float = 0.5, w
     return d.withColumn("weight", F.when((F.col("label") == 0) & (F.col("score") >= threshold), F.lit(weight)).otherwise(F.lit(1.0))).drop("score")
 
 
+# Strategies of hard-negative mining: queries without matches only, least out-of-fold score, weight (None: duplicated).
+MINING = {
+    "none": None,
+    "singleton_30_w3": (True, 0.3, 3.0),
+    "singleton_50_w5": (True, 0.5, 5.0),
+    "all_50_w2": (False, 0.5, 2.0),
+    "all_50_w3": (False, 0.5, 3.0),
+    "singleton_30_twice": (True, 0.3, None),
+    "all_50_twice": (False, 0.5, None),
+}
+
+
+def mined(features: DataFrame, scores: DataFrame, strategy: str) -> DataFrame:
+    """features with weight by a strategy of MINING, from out-of-fold scores (s1_id, cand_id, score)."""
+    rule = MINING[strategy]
+    d = features.withColumn("weight", F.lit(1.0))
+    if rule is None:
+        return d
+    alone, least, weight = rule
+    d = d.join(scores.select("s1_id", "cand_id", "score"), ["s1_id", "cand_id"], "left")
+    hard = (F.col("label") == 0) & (F.coalesce("score", F.lit(0.0)) >= least)
+    if alone:
+        matched = features.where("label = 1").select("s1_id").distinct().withColumn("m", F.lit(True))
+        d = d.join(matched, "s1_id", "left")
+        hard = hard & F.col("m").isNull()
+    if weight is None:
+        copies = F.when(hard, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))
+        return d.withColumn("copy", F.explode(copies)).drop("copy", "score", "m")
+    return d.withColumn("weight", F.when(hard, F.lit(weight)).otherwise(F.lit(1.0))).drop("score", "m")
+
+
 def out_of_fold(features: DataFrame, folds: DataFrame, kind: str = "lr", names: list[str] = FEATURES, k: int = 5) -> DataFrame:
     """Scores of every pair by a model that has not seen its entity."""
     d = features.join(folds.select(F.col("entity_id").alias("s1_id"), "fold"), "s1_id")
@@ -65,6 +98,18 @@ def out_of_fold(features: DataFrame, folds: DataFrame, kind: str = "lr", names:
     return out
 
 
+def compare(train_on: DataFrame, judge_on: DataFrame, truth: DataFrame, entities: DataFrame, kinds=("lr", "rf", "gbt"), names: list[str] = FEATURES, settings: dict | None = None) -> DataFrame:
+    """(model, tau, precision, recall, f05): for every kind of model its best threshold on held-out pairs."""
+    from .evaluation import best_threshold, tune
+
+    out = None
+    for kind in kinds:
+        s = score(train(train_on, kind, names, **(settings or {}).get(kind, {})), judge_on)
+        best = best_threshold(tune(s, truth, entities)).withColumn("model", F.lit(kind))
+        out = best if out is None else out.unionByName(best)
+    return out.select("model", "tau", "precision", "recall", "f05")
+
+
 def save(model: PipelineModel, path: str) -> None:
     model.write().overwrite().save(path)
 

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import json
 from dataclasses import asdict, dataclass, field, replace
+from pathlib import Path
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -29,6 +31,16 @@ class Linkage:
     def from_dict(cls, d: dict) -> Linkage:
         return cls(**{k: tuple(v) if k == "names" else v for k, v in d.items()})
 
+    @classmethod
+    def load(cls, path: str) -> Linkage:
+        """From a file of JSON, or of YAML where a reader for it is installed."""
+        text = Path(path).read_text()
+        if path.endswith((".yaml", ".yml")):
+            import yaml
+
+            return cls.from_dict(yaml.safe_load(text))
+        return cls.from_dict(json.loads(text))
+
 
 BASE = Linkage()
 PRESETS = {

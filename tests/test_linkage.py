@@ -1,13 +1,19 @@
+import json
+
+import duckdb
 import pytest
+from pyspark.sql import functions as F
 
 from tessella.functions import similarity as S
 from tessella.functions import text as X
 from tessella.operators import blocking as B
 from tessella.operators import candidates as C
 from tessella.operators import evaluation as E
+from tessella.operators import learning as L
 from tessella.operators import quality_checks as Q
 from tessella.plans import queries as linkage
 from tessella.plans.presets import PRESETS, Linkage
+from tessella.sources import tables
 from tessella.sources.tables import read_tsv
 
 
@@ -20,27 +26,33 @@ def rows(df):
 
 
 @pytest.mark.parametrize("name,field,value", [
-    ("Acme Corp.", "name_core", "acme"),
-    ("Acme Corporation", "name_core", "acme corporation"),
-    ("Raj Investments Pvt. Ltd.", "name_core", "raj investments"),
-    ("Raj Investments Pvt. Ltd.", "name_suffix_norm", "raj investments private limited"),
-    ("Apex Logistics LLP", "name_core", "apex logistics"),
-    ("Boulangerie Moderne SAS", "name_core", "boulangerie moderne"),
-    ("www.globaltech.in", "name_clean", "globaltech"),
-    ("Dréxkor S.A.R.L.", "name_clean", "dréxkor s a r l"),
-    ("ＡＣＭＥ", "name_clean", "acme"),
+    ("Nordwind Corp.", "name_core", "nordwind"),
+    ("Nordwind Corporation", "name_core", "nordwind corporation"),
+    ("Kaveri Textiles Pvt. Ltd.", "name_core", "kaveri textiles"),
+    ("Kaveri Textiles Pvt. Ltd.", "name_suffix_norm", "kaveri textiles private limited"),
+    ("Blue Harbour LLP", "name_core", "blue harbour"),
+    ("Fromagerie du Lac SAS", "name_core", "fromagerie du lac"),
+    ("www.quickparcel.co", "name_clean", "quickparcel"),
+    ("Çelik & Fils S.A.R.L.", "name_clean", "çelik and fils s a r l"),
+    ("ＺＥＴＡ", "name_clean", "zeta"),
 ])
 def test_names(spark, name, field, value):
     assert records(spark, [("S1-1", name, "", "")]).first()[field] == value
 
 
 def test_word_order_and_addresses(spark):
-    a, b, c = records(spark, [("S1-1", "Beta Alpha", "6(29), C.I.T. Colony, 2nd Main Road, Chennai 600004", "in"), ("S1-2", "Alpha Beta", "", None), ("S1-3", None, "null", "")]).orderBy("entity_id").collect()
-    assert a["name_sorted"] == b["name_sorted"] == "alpha beta"
-    assert (a["addr_pin"], a["addr_numbers"], a["addr_primary_num"]) == ("600004", ["6", "29", "600004"], "6")
+    a, b, c = records(spark, [("S1-1", "Zinc Amber", "14/2(8), M.G. Lane, 3rd Cross Street, Pune 411001", "in"), ("S1-2", "Amber Zinc", "", None), ("S1-3", None, "null", "")]).orderBy("entity_id").collect()
+    assert a["name_sorted"] == b["name_sorted"] == "amber zinc"
+    assert (a["addr_pin"], a["addr_numbers"], a["addr_primary_num"]) == ("411001", ["14", "2", "8", "411001"], "14/2")
     assert b["addr_is_missing"] and c["addr_is_missing"] and c["name_clean"] == ""
 
 
+def test_grams(spark):
+    r = spark.createDataFrame([("ab c",)], "x string").select(X.char_ngrams(F.col("x")).alias("c"), X.word_ngrams(F.lit("ab c de f gh")).alias("w")).first()
+    assert sorted(r.c) == sorted([" a", "ab", "b ", " ab", "ab ", " ab ", " c", "c ", " c "])
+    assert sorted(r.w) == sorted(["ab", "de", "gh", "ab de", "de gh"])
+
+
 def test_strings():
     assert S.jaro_winkler_of("martha", "marhta") == pytest.approx(0.9611, abs=1e-4)
     assert S.common_subsequence("abcbdab", "bdcaba") == 4
@@ -129,35 +141,103 @@ def test_no_cartesian_products(spark):
         assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan
 
 
-def test_cross_script_queries(spark, tmp_path):
-    """Documents in several scripts against brute force."""
-    names = ["राम शर्मा बाजार दुकान", "ram sharma bazar dukan", "தமிழ் கடை ஊர் வீடு", "société générale crédit lyonnais", "societe generale credit lyonnais", "plain words stand here"]
-    docs = [(i, f"{names[i // 2 % len(names)]} Hill Town more", "en", 100 + i // 6) for i in range(1, 61)]
-    spark.createDataFrame(docs, "doc_id long, text string, lang string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
-    suffix = ("Inc", "LLC", "Pvt Ltd", "SARL", "")
-    rec = []
-    for i, text, _, n in docs:
-        w = text.split()
-        name = " ".join([*w[:4], suffix[i % 5]])
-        addr = "" if i % 31 == 0 else f"{n % 900} {w[4]} St, {w[5]} {10000 + n % 500}"
-        scripts = {s for s, (a, b) in {"Devanagari": (0x900, 0x97F), "Tamil": (0xB80, 0xBFF)}.items() if any(a <= ord(c) <= b for c in name)}
-        scripts |= {"Latin"} if any(c.isalpha() and (ord(c) < 0x250) for c in name) else set()
-        rec.append((f"S{1 + i % 3}-{i}", i, name, addr, n, scripts, "" if i % 97 == 0 else "EN"))
-    raw = {k: {r[0]: r[1] for r in linkage.QUERIES[k](spark, str(tmp_path)).select("entity_id", "v").collect()} for k in ("is_non_ascii_raw", "primary_script_raw", "script_set_raw")}
-    for e, _, name, _, _, scripts, _ in rec:
-        assert raw["is_non_ascii_raw"][e] == (not name.isascii()) and raw["script_set_raw"][e] == ",".join(sorted(scripts))
-        assert raw["primary_script_raw"][e] == next((s for s in ("Devanagari", "Tamil") if s in scripts), "Latin")
-    # all addresses have a number and a postal code
-    left, right = [r for r in rec if r[0].startswith("S1")], [r for r in rec if not r[0].startswith("S1")]
-    want = {(a[0], b[0]) for a in left for b in right if a[3] and a[3] == b[3] and a[5] != b[5]}
-    assert want and rows(linkage.QUERIES["block_xscript_addr"](spark, str(tmp_path))) == want
-    # readings: whole name, or a token of four Latin letters and more
-    reading = {r[0]: "".join(map(X.romanised, r[2].lower())).strip() for r in rec}
-    clean = {e: " ".join(x.split()) for e, x in reading.items()}
-    keys = lambda e: {clean[e]} | {t for t in clean[e].split() if len(t) >= 4 and t.isascii() and t.isalpha()}
-    far = [b for b in right if not b[2].isascii()]
-    want = {(a[0], b[0]) for a in left for b in far if any(sum(k in keys(c[0]) for c in far) <= 30 for k in keys(a[0]) & keys(b[0]))}
-    got = rows(linkage.QUERIES["block_translit"](spark, str(tmp_path)))
-    assert want and got == want
-    true = [(a, b) for a in left for b in right if docs[a[1] - 1][1] == docs[b[1] - 1][1]]
-    assert linkage.QUERIES["xscript_recall"](spark, str(tmp_path)).first()["n"] == sum(a[5] != b[5] for a, b in true) > 0
+@pytest.fixture(scope="module")
+def folder(spark, tmp_path_factory):
+    """Documents with copies, near copies, accents, nulls and empty texts."""
+    at = tmp_path_factory.mktemp("docs")
+    base = ["société générale", "crédit lyonnais maritime", "straße zürich", "harbour timber trading", "señora mañana textiles", "northern copper works"]
+    rows = []
+    for i in range(1, 151):
+        k = i // 5
+        line = f"{base[k % 6]} place{chr(97 + k % 26)}ville number{'xyz'[k % 3]}{chr(97 + k // 7)} quarter"
+        rows.append((i, f"{line} {'extra' * (i % 4 == 0)}\n{'tail' if i % 9 else 'other tail'} of it", "fr" if k % 2 else "en", f"s{i % 4}", 100 + k + (i % 5 == 4)))
+    rows += [(151, None, "en", "s1", 3), (152, "", None, None, None), (None, "no id", "en", "s1", 5), (153, "x", "en", "s1", 1)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{at}/documents.parquet")
+    return str(at)
+
+
+CHECKED = ("norm_name", "norm_addr", "primary_script", "script_set", "translit_names", "char_ngrams", "scan_tsv", "sink_results", "sink_candidates", "block_exact", "block_rare", "block_loc_num", "block_soft", "block_hybrid",
+           "block_acronym", "block_translit", "block_xscript_addr", "block_char", "legacy_candidates", "prune_quota", "tune_band", "validate", "failure_class", "xscript_recall", "features", "hnm_weights", "strat_sample", "sample_entities", "bundle_load")
+
+
+@pytest.mark.parametrize("name", CHECKED)
+def test_against_sql(spark, folder, name):
+    con = duckdb.connect()
+    con.execute(f"create view documents as select * from '{folder}/documents.parquet/*.parquet'")
+    got = linkage.QUERIES[name](spark, folder)
+    columns = sorted(got.columns)
+    cell = lambda v: round(v, 6) if isinstance(v, float) else v
+    have = sorted((tuple(cell(r[c]) for c in columns) for r in got.collect()), key=repr)
+    run = con.execute(linkage.ORACLES[name])
+    names = [c[0] for c in run.description]
+    want = sorted((tuple(cell(r[names.index(c)]) for c in columns) for r in run.fetchall()), key=repr)
+    assert have == want and have
+
+
+def test_other_ratios(spark, folder):
+    """The four ratios without SQL, against subsequences found by dynamic programming."""
+
+    def common(a, b):
+        row = [0] * (len(b) + 1)
+        for x in a:
+            last = row[:]
+            for j, y in enumerate(b):
+                row[j + 1] = last[j] + 1 if x == y else max(last[j + 1], row[j])
+        return row[-1]
+
+    ratio = lambda a, b: 2 * common(a, b) / (len(a) + len(b))
+    ordered = lambda x: " ".join(sorted(x.split()))
+    q, t = linkage.sides(spark, folder)
+    names = {r.entity_id: (r.name_clean, r.addr_clean, r.addr_is_missing) for r in q.unionByName(t).collect()}
+    rows_ = linkage.featured(spark, folder).collect()
+    assert rows_
+    for r in rows_:
+        (na, aa, ma), (nb, ab, mb) = names[r.s1_id], names[r.cand_id]
+        assert r.name_token_sort_ratio == pytest.approx(ratio(ordered(na), ordered(nb)))
+        whole = not (ma or mb or len(aa) < 3 or len(ab) < 3)
+        assert r.addr_token_sort_ratio == pytest.approx(ratio(ordered(aa), ordered(ab)) if whole else 0)
+        x, y = set(na.split()), set(nb.split())
+        both = ordered(" ".join(x & y))
+        p, s = (f"{both} {ordered(' '.join(z))}".strip() for z in (x - y, y - x))
+        want = 1 if x & y and (x <= y or y <= x) else max([ratio(p, s)] + ([ratio(both, p), ratio(both, s)] if both else []))
+        assert r.name_token_set_ratio == pytest.approx(want) and r.name_wratio >= max(ratio(na, nb), 0.0) - 1e-9
+
+
+def test_files(spark, tmp_path):
+    d = records(spark, [("S1-1", "a", "", "")]).select("entity_id", "business_name", "business_address", "country")
+    with pytest.raises(FileNotFoundError):
+        tables.discover(spark, [str(tmp_path)])
+    for n in tables.TEST:
+        tables.write_tsv(d, f"{tmp_path}/{n}", None)
+    got = tables.bundle(spark, tables.discover(spark, [f"{tmp_path}/none", str(tmp_path)], tables.TEST), tables.TEST)
+    assert set(got) == {"test_source1", "test_source2", "test_source3"} and rows(got["test_source2"]) == {("S1-1", "a", "", "")}
+    bad = spark.createDataFrame([(0, "Source1_Entity_ID\tx"), (1, "S1-1\t"), (2, "S1-2"), (3, "")], "place long, value string")
+    assert rows(Q.file_findings(bad)) == {("bad_header", "Source1_Entity_ID\tx"), ("no_tab", "S1-2")}
+    (tmp_path / "run.json").write_text(json.dumps(PRESETS["yaml"].to_dict()))
+    assert Linkage.load(f"{tmp_path}/run.json") == PRESETS["yaml"]
+
+
+def test_reports(spark):
+    pair = "s1_id string, cand_id string"
+    ents = spark.createDataFrame([(f"S1-{i}",) for i in range(4)], "entity_id string")
+    truth, pred = spark.createDataFrame([("S1-0", "a"), ("S1-0", "b"), ("S1-1", "c")], pair), spark.createDataFrame([("S1-0", "a"), ("S1-2", "x")], pair)
+    text = E.metrics_text(E.blocking_metrics(truth, pred, ents, 10).first())
+    assert "33.33% of 3 pairs" in text and "0.50" in text
+    cost = Q.projected_cost(lambda q: q, ents, 0.5)
+    assert (cost["sample_size"], cost["full_size"], cost["projected_pairs"]) == (2, 4, 4)
+
+
+def test_mining(spark):
+    f = spark.createDataFrame([("S1-1", "a", 1), ("S1-1", "b", 0), ("S1-2", "a", 0), ("S1-2", "b", 0)], "s1_id string, cand_id string, label int")
+    s = spark.createDataFrame([("S1-1", "b", 0.9), ("S1-2", "a", 0.4), ("S1-2", "b", 0.6)], "s1_id string, cand_id string, score double")
+    total = {k: L.mined(f, s, k).agg({"weight": "sum"}).first()[0] for k in L.MINING}
+    assert total == {"none": 4, "singleton_30_w3": 8, "singleton_50_w5": 8, "all_50_w2": 6, "all_50_w3": 8, "singleton_30_twice": 6, "all_50_twice": 6}
+
+
+def test_heavy_terms(spark, monkeypatch):
+    """Postings of frequent terms are split without changing the result."""
+    t = records(spark, [(f"S2-{i}", f"common word{i % 5} end", "", "") for i in range(40)])
+    q = records(spark, [(f"S1-{i}", f"common word{i} end", "", "") for i in range(5)])
+    want = rows(B.char_retrieval(q, t, k=50))
+    monkeypatch.setattr(B, "HEAVY", 3)
+    assert rows(B.char_retrieval(q, t, k=50)) == want and len(want) >= 40
