@@ -93,7 +93,8 @@ def takes(docs: DataFrame, weights=WEIGHTS, max_repeat: int = MAX_REPEAT, per_bu
     bucket = F.substring("rank", 1, digits) if digits else F.lit("")
     sums = light.groupBy("source", bucket.alias("bucket")).agg(F.sum("size").alias("bucket_size"))
     ahead = Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
-    sums = sums.select(F.col("source").alias("s_source"), F.col("bucket").alias("s_bucket"), F.coalesce(F.sum("bucket_size").over(ahead), F.lit(0)).alias("bucket_done"))
+    # written, so that its size is known before rows with their texts would be shuffled to join it
+    sums = cut(sums.select(F.col("source").alias("s_source"), F.col("bucket").alias("s_bucket"), F.coalesce(F.sum("bucket_size").over(ahead), F.lit(0)).alias("bucket_done")))
     shares = targets(cut(light.groupBy("source").agg(F.sum("size").alias("source_size"))), weights, max_repeat).withColumnRenamed("source", "t_source")
     inside = Window.partitionBy("source", "bucket").orderBy("rank", "doc_id", "size", "digest").rowsBetween(Window.unboundedPreceding, -1)
     rows = (sizes(docs, True) if keep else light).withColumn("bucket", bucket)

@@ -134,7 +134,7 @@ def combinations(grid: int = GRID) -> np.ndarray:
             rows.add(((a, k),) if not rest else tuple(sorted(((a, k), (rest, 1)))) if rest != a else ((a, k + 1),))
         for b in range(a, grid):
             c = grid - a - b
-            if c >= b and (b - a) % 2 == 0:
+            if c >= b:
                 cells: dict[int, int] = {}
                 for x in (a, b, c):
                     cells[x] = cells.get(x, 0) + 1
@@ -263,8 +263,7 @@ def pack(docs: DataFrame, path: str | None = None, window: int = WINDOW, grid: i
     spark = docs.sparkSession
     wide = window // grid
     keyed = docs.select(F.xxhash64("doc_id", "text").alias("row_id"), F.col("doc_id").cast("long").alias("doc_id"), "text")
-    pieces = cut(encoded(keyed, path, window))
-    pieces = cut(pieces.withColumn("part", F.spark_partition_id()))
+    pieces = cut(encoded(keyed, path, window).withColumn("part", F.spark_partition_id()))
     tails = F.col("length") < window
     cells = pieces.where(tails).groupBy("part", F.ceil(F.col("length") / wide).cast("int").alias("cell")).agg(F.count(F.lit(1)).alias("n"))
     whole = pieces.where(~tails).groupBy("part").agg(F.count(F.lit(1)).alias("n"))

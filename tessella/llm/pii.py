@@ -171,9 +171,12 @@ def address(e: Column, salt: Column) -> Column:
     """A keyed permutation of IPv4 addresses."""
     o = F.split(e, r"\.")
 
+    def once(x: Column, k: int) -> Column:
+        return let(x, lambda y: F.struct(y["b"].alias("a"), F.pmod(y["a"] + number(salt, F.lit(k), y["b"]), F.lit(65536)).alias("b")))
+
     def rounds(x: Column) -> Column:
-        for i in range(2):
-            x = let(x, lambda y, i=i: let(F.struct(y["b"].alias("a"), F.pmod(y["a"] + number(salt, F.lit(i), y["b"]), F.lit(65536)).alias("b")), lambda z, i=i: F.struct(z["b"].alias("a"), F.pmod(z["a"] + number(salt, F.lit(i + 10), z["b"]), F.lit(65536)).alias("b"))))
+        for k in range(4):
+            x = once(x, k)
         return let(x, lambda y: F.concat_ws(".", F.floor(y["a"] / 256), y["a"] % 256, F.floor(y["b"] / 256), y["b"] % 256))
 
     n = lambda i: F.get(o, F.lit(i)).cast("long")

@@ -98,7 +98,7 @@ def numbered(df: DataFrame, name: str, *by: str) -> DataFrame:
 
 
 #: Edges up to which a node's edges may meet in one task; beyond it, joins are such that a hot node's are split.
-FEW_EDGES = 1_000_000
+FEW_EDGES = 10_000
 
 
 def connected_components(edges: DataFrame, a: str = "a", b: str = "b", max_rounds: int = 60) -> DataFrame:

@@ -1,6 +1,7 @@
 """Small tables with nulls, empty texts, ties, repeated rows and clashing columns, against brute force."""
 
 import hashlib
+import math
 import os
 import re
 import zlib
@@ -42,24 +43,61 @@ def test_neardup(docs):
     assert neardup.near_duplicates(docs.limit(0)).count() == 0
 
 
-def test_neardup_brute(spark):
-    rng = np.random.default_rng(1)
-    base = [f"t{i}" for i in rng.integers(0, 5000, 80)]
+def chained(n=60, words=80, seed=1):
+    """Texts that differ from one base text in a few words each, so that links form chains."""
+    rng = np.random.default_rng(seed)
+    base = [f"t{i}" for i in rng.integers(0, 5000, words)]
     texts = []
-    for _ in range(60):
+    for _ in range(n):
         w = list(base)
-        for k in rng.integers(0, 80, rng.integers(0, 9)):
+        for k in rng.integers(0, words, rng.integers(0, 9)):
             w[k] = f"e{rng.integers(0, 9999)}"
         texts.append(" ".join(w))
-    sets = [set(zip(t.split(), t.split()[1:])) for t in texts]
-    label = list(range(60))
-    for _ in range(60):
-        for i in range(60):
-            for j in range(60):
-                if 100 * len(sets[i] & sets[j]) >= 80 * len(sets[i] | sets[j]):
+    return texts
+
+
+def components(ids, texts, k):
+    """Smallest id reachable from each row; rows with one id are one node."""
+    words = [t.lower().split() if t else [] for t in texts]
+    sets = [set(zip(*(w[i:] for i in range(k)))) if len(w) >= k else {tuple(w)} if w else set() for w in words]
+    label = list(ids)
+    for _ in ids:
+        for i in range(len(ids)):
+            for j in range(len(ids)):
+                if ids[i] == ids[j] or sets[i] and 100 * len(sets[i] & sets[j]) >= 80 * len(sets[i] | sets[j]):
                     label[i] = label[j] = min(label[i], label[j])
-    got = by_id(neardup.near_duplicates(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), shingle=2))
-    assert [got[i].component_id for i in range(60)] == label
+    return label
+
+
+@pytest.mark.parametrize("shingle,block", [(2, 400), (2, 7), (5, 400)])
+def test_neardup_brute(spark, monkeypatch, shingle, block):
+    monkeypatch.setattr(neardup, "BLOCK", block)  # also many blocks a band
+    texts = chained()
+    got = by_id(neardup.near_duplicates(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), shingle=shingle))
+    assert [got[i].component_id for i in range(60)] == components(range(60), texts, shingle)
+
+
+def test_neardup_repeated_ids(spark):
+    """One doc_id with several texts has the links of all of them."""
+    q, w, x = ("q1 q2 q3 q4 q5 q6 q7 q8 q9 q0 " * 3, "w1 w2 w3 w4 w5 w6 w7 w8 w9 w0 v1 v2 v3 v4 v5 v6 v7 v8", "x1 x2 x3")
+    rows = [(5, q), (5, w), (9, w.replace("v8", "v9")), (3, q.upper()), (7, x), (7, None), (8, x + " y"), (6, ""), (None, q), (8, w + " z")]
+    ids = [r[0] for r in rows if r[0] is not None]
+    want = dict(zip(ids, components(ids, [r[1] for r in rows if r[0] is not None], 2)))
+    got = neardup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), shingle=2).collect()
+    assert sorted((r.doc_id, r.component_id) for r in got if r.doc_id is not None) == sorted((i, want[i]) for i in ids)
+    assert want[9] == want[8] == 3 and [(r.component_id, r.kept) for r in got if r.doc_id is None] == [(None, True)]
+
+
+def test_one_of_each(spark):
+    texts = chained(20)
+    rows = [(i + 10, t, "k", i) for i, t in enumerate(texts)] + [(1, "one two", "k", 1), (1, "one two", "k", 1), (1, "other text", "k", 2), (2, "ONE  two", "k", 3), (None, "one two", "k", 4), (None, None, "k", 5), (3, "", "k", 6), (3, "", "k", 6), (None, "alone", "k", 7)]
+    d = spark.createDataFrame(rows, "doc_id long, text string, k1 string, `group` long")
+    got = Counter(tuple(r) for r in neardup.one_of_each(d).collect() if (r.doc_id or 0) < 10)
+    label = components(range(20), texts, 5)
+    kept = {i + 10 for i in range(20) if label[i] == i}
+    assert {r.doc_id for r in neardup.one_of_each(d).collect() if (r.doc_id or 0) >= 10} == kept
+    assert got == {(1, "one two", "k", 1): 1, (1, "other text", "k", 2): 1, (3, "", "k", 6): 2, (None, None, "k", 5): 1, (None, "alone", "k", 7): 1}
+    assert neardup.one_of_each(d).columns == d.columns and neardup.one_of_each(d.limit(0)).count() == 0
 
 
 def test_sketch_merges():
@@ -68,25 +106,37 @@ def test_sketch_merges():
     assert (neardup.merge(r[0], r[1]) == r[2]).all()
 
 
-def test_packing_round_trip(docs):
-    got = packing.pack(docs).collect()
+@pytest.mark.parametrize("copies", [1, 40])
+def test_packing_round_trip(spark, docs, copies):
+    """Every id of every row in one piece, by offsets, lengths, checksums and the end of every sequence."""
+    many = ROWS + [(100 + i, " ".join(f"x{(i * j) % 31}" for j in range(i * 37 % 900)), "en", "a", 0, None, None) for i in range(copies * 5)]
+    got = packing.pack(spark.createDataFrame(many, SCHEMA)).collect()
     tok = packing.tokenizer(packing.public_tokenizers.path(packing.TOKENIZER))
-    want = Counter()
-    for r in ROWS:
-        ids = np.array(tok.encode(r[1] or "", add_special_tokens=False).ids + [2], "<u4")
-        want[r[0]] += len(ids)
-    have = Counter()
-    for r in got:
-        have[r.doc_id] += r.length
-    assert have == want
+    ids = [(r[0], np.array(tok.encode(r[1] or "", add_special_tokens=False).ids + [2], "<u4")) for r in many]
+    pieces = Counter((r.doc_id, r.doc_tokens, r.start, r.length, r.ids_crc32) for r in got)
+    by_doc = {}
+    for d, n, start, length, crc in pieces.elements():
+        by_doc.setdefault((d, n), []).append((start, length, crc))
+    for (d, n), cuts in by_doc.items():
+        rows = [x for i, x in ids if i == d and len(x) == n]
+        assert rows and sum(c[1] for c in cuts) == n * len(rows)
+        for start, length, crc in cuts:
+            assert any(crc == zlib.crc32(x[start : start + length].tobytes()) for x in rows) and length > 0
+        if len(rows) == 1:
+            at = 0
+            for start, length, _ in sorted(cuts):
+                assert start == at
+                at += length
+    assert set(by_doc) == {(i, len(x)) for i, x in ids}
+    padding = 0
     for s in {r.sequence_id for r in got}:
         at = 0
         for r in sorted((r for r in got if r.sequence_id == s), key=lambda r: r.offset):
             assert r.offset == at
             at += r.length
         assert at <= 4096
-    ids = np.array(tok.encode(ROWS[0][1], add_special_tokens=False).ids + [2], "<u4")
-    assert {r.ids_crc32 for r in got if r.doc_id == 1} == {zlib.crc32(ids.tobytes())} or sum(r.doc_id == 1 for r in got) > 1
+        padding += 0 if at & (at - 1) == 0 else 4096 - at
+    assert padding <= 0.01 * sum(len(x) for _, x in ids) + 1
     assert packing.pack(docs.limit(0)).count() == 0
 
 
@@ -103,7 +153,40 @@ def test_mixing(docs):
         taken[r.source] += r.taken
         target[r.source] = r.target
     assert all(abs(taken[s] - target[s]) < 1 for s in target)
-    assert mixing.takes(docs.limit(0)).count() == 0 and mixing.mix(docs).columns == docs.columns
+    assert mixing.takes(docs.limit(0)).count() == 0 and mixing.mix(docs).columns == docs.columns and mixing.mix(docs.limit(0)).count() == 0
+
+
+def test_mix_rows(spark):
+    """The words written are the words taken, row by row, also where rows share id, source and size."""
+    rows = [(1, "a b c d e f g", "s", "x"), (1, "t u v w x y z", "s", "x"), (1, "t u v w x y z", "s", "x"), (None, "n n n", "s", None), (None, "m m m", None, None), (-1, "k k k", "t", "x"), (2, None, "t", "x"), (3, " \n", "t", "x"), (4, "l " * 40, "t", "x")]
+    d = spark.createDataFrame(rows, "doc_id long, text string, source string, doc string")
+    want, have = Counter(), Counter()
+    for r in mixing.takes(d, keep=True).collect():
+        want[(r.doc_id, r.source, (r.doc.text or "").split(" ")[0])] += r.taken
+    got = mixing.mix(d).collect()
+    for r in got:
+        have[(r.doc_id, r.source, r.text.split(" ")[0])] += len(r.text.split())
+    assert +want == have and set(got[0].asDict()) == {"doc_id", "text", "source", "doc"}
+
+
+def test_targets(spark):
+    """Against sources filled one by one, with many that stop at their cap."""
+    rng = np.random.default_rng(5)
+    rows = [(None if i == 7 else f"s{i:02}", int(10 ** rng.uniform(0, 5))) for i in range(40)]
+    ordered = sorted(rows, key=lambda r: (r[0] is None, r[0] or ""))
+    weight = {r[0]: (1, 2, 3)[i % 3] for i, r in enumerate(ordered)}
+    left, open_, want = float(sum(n for _, n in rows)), dict(rows), {}
+    while full := {s for s, n in open_.items() if 3.0 * n <= left / sum(weight[x] for x in open_) * weight[s]}:
+        want |= {s: 3.0 * open_[s] for s in full}
+        left -= sum(3.0 * open_.pop(s) for s in full)
+    want |= {s: left / sum(weight[x] for x in open_) * weight[s] for s in open_}
+    got = {r.source: r.target for r in mixing.targets(spark.createDataFrame(rows, "source string, source_size long")).collect()}
+    assert got == pytest.approx(want)
+
+
+def test_numbered(spark):
+    d = spark.createDataFrame([(i * 37 % 101, str(i)) for i in range(101)], "a long, b string").repartition(7)
+    assert sorted((r.a, r.k) for r in shared.numbered(d, "k", "a").collect()) == [(i, i) for i in range(101)]
 
 
 def test_mixing_order(spark, tmp_path):
@@ -288,6 +371,46 @@ def test_vectors(spark):
     assert all(got[i].n_links == 0 and got[i].kept for i in (900, 901, 902, 903))
 
 
+def planted(n, dims, seed=1):
+    """n vectors, and for every fourth a partner at a cosine of just over 0.95, both spread over the space."""
+    rng = np.random.default_rng(seed)
+    x = embeddings.unit(rng.standard_normal((n, dims)))
+    other = rng.standard_normal((n // 4, dims))
+    other = embeddings.unit(other - (other * x[::4]).sum(1, keepdims=True) * x[::4])
+    c = 0.952
+    return np.concatenate([x, c * x[::4] + (1 - c * c) ** 0.5 * other])
+
+
+@pytest.mark.parametrize("n,max_leaf", [(6000, embeddings.MAX_LEAF), (2400, 60)])
+def test_vectors_recall(spark, n, max_leaf):
+    """Recall of links against brute force with the forest as it is set, and with leaves that are split again."""
+    v = planted(n, 64)
+    u = embeddings.unit(v)
+    hit = u @ u.T >= 0.95
+    links = hit.sum(1) - 1
+    d = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "vec_id long, embedding array<double>")
+    more = {} if n == 6000 else {"leaf": 500}
+    got = {r.vec_id: r for r in embeddings.near_duplicate_vectors(d, max_leaf=max_leaf, **more).collect()}
+    have = np.array([got[i].n_links for i in range(len(v))])
+    assert links.sum() >= n / 2 and (have <= links).all()
+    recall = have.sum() / links.sum()
+    print("recall", n, max_leaf, recall)
+    assert recall >= (0.99 if n == 6000 else 0.9)
+    for i in np.flatnonzero(have == links)[:200]:
+        if links[i] == 1:
+            j = int(np.flatnonzero(hit[i] & (np.arange(len(v)) != i))[0])
+            assert have[j] != 1 or got[i].component_id == min(i, j)
+
+
+def test_vectors_odd(spark):
+    a, b = [1.0, 2.0, 3.0], [1.0, 2.0, 3.0, 0.0]
+    rows = [(1, a), (1, None), (2, a), (2, [0.0, 0.0, 0.0]), (3, b), (4, b), (5, []), (None, a), (6, [float("inf"), 1.0]), (7, [1.0, 2.0, 3.001])]
+    d = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = Counter((r.vec_id, r.n_links, r.component_id, r.kept) for r in embeddings.near_duplicate_vectors(d).collect())
+    assert got == Counter([(1, 2, 1, True), (1, 0, 1, True), (2, 2, 1, False), (2, 0, 2, True), (3, 1, 3, True), (4, 1, 3, False), (5, 0, 5, True), (None, 0, None, True), (6, 0, 6, True), (7, 2, 1, False)])
+    assert embeddings.near_duplicate_vectors(d.limit(0)).count() == 0
+
+
 def test_quality(spark, docs):
     got = quality.judge(docs, docs.where("doc_id = 6").select("doc_id")).collect()
     six = next(r for r in got if r.doc_id == 6)
@@ -303,6 +426,48 @@ def test_html():
     assert htmltext.extract(None) == "" == htmltext.extract("")
 
 
+LOREM = "This is a rather long paragraph of an article, with words enough for it. " * 4
+
+
+def test_html_markup():
+    side = '<div class="sidebar"><p>side</p></div>'
+    p = f"<p>{LOREM}</p>"
+    body = LOREM.strip()
+    for page, want in (
+        ('<p a=b"c>Hello one</p><p>two</p>', "Hello one\n\ntwo"),
+        ("<div class=it's><p>one</p><p>two</p><p>three</p></div>", "one\n\ntwo\n\nthree"),
+        (f'<body><div class="layout has-sidebar"><article>{p}</article>{side}</div></body>', body),
+        (f'<body><form action=x><h1>T</h1>{p}{p}<input name=a></form></body>', f"T\n\n{body}\n\n{body}"),
+        (f'<body><div id=c><h1>T</h1>{p}{p}</div><div class="comments">{p}{p}{p}</div></body>', f"T\n\n{body}\n\n{body}"),
+        (f"<header><h1>Site</h1></header><div>{p}{p}</div><form><p>Search here</p><input></form>", f"{body}\n\n{body}"),
+        ('<p data-class="ads">x y z</p>', "x y z"),
+        ('<p>a</p><a href="x>lost', "a"),
+        ("<p>a<br>b &amp;c &#x41;", "a b &c A"),
+        ("<p title='>'>x</p><!-- <p>no</p> --><style>p{}</style>", "x"),
+    ):
+        assert htmltext.extract(page) == want, page
+
+
+def test_html_density():
+    """Counts, densities and sums of every node against their definition, found anew for each node."""
+    page = f"<body><div><a href=x>one two</a><ul><li><a href=y>three</a><li>four</ul></div><div><p>{LOREM}<b>bold</b></p><p>tail <i>x</i> <a>y</a></p></div></body>"
+    root = htmltext.parse(page)
+    order = htmltext.measure(root)
+
+    def under(n):
+        return [x for c in n.children() for x in (c, *under(c))]
+
+    size = lambda n: sum(len("".join(x.split())) for m in (n, *under(n)) for x in m.parts if isinstance(x, str))
+    links = lambda n: sum(size(x) for x in under(n) if x.name == "a")
+    for n in order:
+        c, t, lc, lt = size(n), max(1, len(under(n))), links(n), sum(x.name == "a" for x in under(n))
+        assert (n.chars, n.link_chars, n.link_tags) == (c, lc, lt)
+        base = math.log(c / max(1, c - lc) * lc + links(root) / size(root) * c + math.e)
+        want = c / t * math.log(max(1 + 1e-9, c / max(1, lc) * t / max(1, lt))) / math.log(max(base, 1) + math.e - 1)
+        assert n.density == pytest.approx(want) and n.total == pytest.approx(sum(x.density for x in n.children()))
+    assert htmltext.choose(root)[0].parts[0].name == "p"
+
+
 def test_html_rows(spark):
     d = spark.createDataFrame([(1, "u", None), (None, None, "<p>x"), (1, "u", None)], "page_id long, url string, html string")
     assert sorted((r.text, r.n_chars) for r in htmltext.extract_text(d).collect()) == [("", 0), ("", 0), ("x", 1)]
