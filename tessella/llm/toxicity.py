@@ -18,6 +18,7 @@ from functools import lru_cache
 
 import numpy as np
 import pandas as pd
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -73,7 +74,7 @@ def index(c: str) -> int:
     return int(TABLE[ord(c)]) if ord(c) < 0x250 else OTHER if c.isalpha() else 0
 
 
-def trigram_counts(docs: DataFrame) -> dict[int, int]:
+def trigram_counts(docs: DataFrame) -> np.ndarray:
     """Counts of character trigrams over every whole text; at most 64**3 rows reach the driver."""
 
     def run(parts):
@@ -89,15 +90,14 @@ def trigram_counts(docs: DataFrame) -> dict[int, int]:
         yield pd.DataFrame({"gram": at.astype(np.int32), "n": total[at]})
 
     counts = docs.select("text").mapInPandas(run, "gram int, n long").groupBy("gram").agg(F.sum("n").alias("n"))
-    return {r["gram"]: r["n"] for r in counts.collect()}
+    got, out = counts.toArrow(), np.zeros(1 << 18)
+    out[got.column("gram").to_numpy()] = got.column("n").to_numpy()
+    return out
 
 
-def language_model(counts: dict[int, int]) -> np.ndarray:
+def language_model(counts: np.ndarray) -> np.ndarray:
     """-log p(c | a, b), trigrams interpolated with bigrams and letters; shape (64, 64, 64)."""
-    n = np.zeros(1 << 18)
-    for g, k in counts.items():
-        n[g] = k
-    n = n.reshape(64, 64, 64)
+    n = counts.reshape(64, 64, 64)
     one = (n.sum((0, 1)) + 1) / (n.sum() + 64)
     pair = n.sum(0)
     two = (pair + 5 * one) / (pair.sum(1, keepdims=True) + 5)
@@ -218,7 +218,9 @@ def counted(docs: DataFrame, restorer: np.ndarray, only=None) -> dict[str, tuple
             yield flush()
 
     got = docs.select("text", "toxic").mapInPandas(run, "f string, bad long, n long").groupBy("f").agg(F.sum("bad").alias("bad"), F.sum("n").alias("n"))
-    out = {r["f"]: (r["bad"], r["n"]) for r in got.where(F.col("bad") >= LEAST_COUNT).collect()}
+    # as Arrow: rows of Python objects would take many times the driver's memory
+    table_ = got.where(F.col("bad") >= LEAST_COUNT).toArrow()
+    out = dict(zip(table_.column("f").to_pylist(), zip(table_.column("bad").to_pylist(), table_.column("n").to_pylist(), strict=True), strict=True))
     model.destroy()
     wanted.destroy()
     return out
@@ -236,14 +238,12 @@ def ratio(bad: int, n: int, all_bad: int, rows: int) -> float:
     return g if bad * rows > n * all_bad else -g
 
 
-def logistic(rows: list[np.ndarray], y: np.ndarray, n: int, rounds: int = 400, rate: float = 2.0, decay: float = 2e-4) -> tuple[np.ndarray, float]:
-    """Weights and bias of a logistic model over sparse binary rows, by Adagrad on all rows."""
-    at = np.concatenate(rows) if rows else np.zeros(0, int)
-    of = np.repeat(np.arange(len(rows)), [len(r) for r in rows])
+def logistic(at: np.ndarray, of: np.ndarray, y: np.ndarray, n: int, rounds: int = 400, rate: float = 2.0, decay: float = 2e-4) -> tuple[np.ndarray, float]:
+    """Weights and bias of a logistic model over sparse binary rows, by Adagrad on all rows: feature at[i] is active in row of[i]."""
     w, b, gw, gb = np.zeros(n), 0.0, np.full(n, 1e-8), 1e-8
     for _ in range(rounds):
-        z = b + np.bincount(of, w[at], minlength=len(rows))
-        e = (1 / (1 + np.exp(-z)) - y) / max(1, len(rows))
+        z = b + np.bincount(of, w[at], minlength=len(y))
+        e = (1 / (1 + np.exp(-z)) - y) / max(1, len(y))
         g = np.bincount(at, e[of], minlength=n) + decay * w
         gw += g * g
         w -= rate * g / np.sqrt(gw) * 0.1
@@ -291,10 +291,13 @@ def fit(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED) ->
             found = [sorted(at[f] for f in features(r.words(t)[0]) if f in at) for t in p["text"]]
             yield pd.DataFrame({"key": p["key"].astype(object), "toxic": p["toxic"], "at": found})
 
-    got = sorted(rows.mapInPandas(active, "key string, toxic boolean, at array<int>").collect(), key=lambda r: r["key"])
+    got = rows.mapInPandas(active, "key string, toxic boolean, at array<int>").toArrow().sort_by("key").combine_chunks()
     lm.destroy()
     where.destroy()
-    w, b = logistic([np.array(r["at"], int) for r in got], np.array([float(r["toxic"]) for r in got]), len(chosen))
+    active_at = got.column("at").combine_chunks()
+    sizes = np.asarray(pc.list_value_length(active_at).fill_null(0), np.int64)
+    y = np.asarray(got.column("toxic").cast("int8").to_numpy(), float)
+    w, b = logistic(np.asarray(active_at.flatten(), np.int64), np.repeat(np.arange(len(y)), sizes), y, len(chosen))
     return Model(language, {f: float(w[i]) for f, i in place.items()}, float(b))
 
 
