@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import connected_components, cut, cut_measured, discard
+from .shared import connected_components, cut, cut_measured, discard, tidy
 
 BANDS, ROWS = 40, 6
 M = BANDS * ROWS
@@ -59,7 +59,7 @@ def coefficients() -> tuple[np.ndarray, np.ndarray]:
     return seed[:M] | np.uint32(1), seed[M:]
 
 
-@lru_cache(maxsize=200_000)
+@lru_cache(maxsize=50_000)
 def word_hash(w: bytes) -> int:
     return xxhash.xxh3_64_intdigest(w)
 
@@ -166,7 +166,7 @@ def sketch(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([*(b.column(c) for c in names), pa.array(n, pa.int64()), pa.array(keys, pa.binary()), pa.array(regs, pa.binary())], [*names, "n_shingles", "text_key", "registers"])
 
     schema = ", ".join([*(f"{f.name} {f.dataType.simpleString()}" for f in others), "n_shingles long, text_key binary, registers binary"])
-    return docs.select(*names, "text").mapInArrow(run, schema)
+    return docs.select(*names, "text").mapInArrow(tidy(run), schema)
 
 
 def banded(reps: DataFrame) -> DataFrame:
@@ -268,7 +268,7 @@ def verified(pairs: DataFrame, table: DataFrame, shingle: int, percent: int) ->
                         out.append((a, x))
             yield pd.DataFrame(out, columns=["a", "b"], dtype="int64")
 
-    return rows.mapInPandas(run, "a long, b long").distinct()
+    return rows.mapInPandas(tidy(run), "a long, b long").distinct()
 
 
 def crossing(p: pd.DataFrame, lo: int, mid: int, hi: int, regs: np.ndarray):
@@ -347,8 +347,8 @@ def residual(members: DataFrame, table: DataFrame, shingle: int, percent: int) -
             yield pd.DataFrame(out, columns=["a", "b"], dtype="int64")
 
     light = table.select("id", "n", "registers")
-    some = cut(dealt(both.join(light, "id")).mapInPandas(hopeful, kinds))
-    links = cut(dealt(some.join(table, "id")).mapInPandas(linked, "a long, b long").distinct())
+    some = cut(dealt(both.join(light, "id")).mapInPandas(tidy(hopeful), kinds))
+    links = cut(dealt(some.join(table, "id")).mapInPandas(tidy(linked), "a long, b long").distinct())
     discard(size, both, some)
     return links
 

@@ -24,11 +24,12 @@ from functools import lru_cache
 import numpy as np
 import pandas as pd
 import public_tokenizers
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from .shared import cut
+from .shared import cut, tidy
 
 WINDOW = 4096
 #: Cells of the length grid; a piece wastes less than WINDOW / GRID tokens.
@@ -121,6 +122,12 @@ class Encoder:
         return out
 
 
+@lru_cache(maxsize=1)
+def encoder(path: str) -> Encoder:
+    """One for all tasks of a worker, which so share what it remembers."""
+    return Encoder(path)
+
+
 def crc(ids: np.ndarray) -> int:
     return zlib.crc32(ids.tobytes())
 
@@ -234,19 +241,20 @@ PIECE = "row_id long, doc_id long, start long, length long, ids_crc32 long, doc_
 def encoded(docs: DataFrame, path: str, window: int) -> DataFrame:
     """Each document's whole windows and its last, shorter piece."""
 
-    def run(parts):
-        enc = Encoder(path)
-        for p in parts:
+    names = [c.split()[0] for c in PIECE.split(", ")]
+
+    def run(batches):
+        enc = encoder(path)
+        for b in batches:
             out = []
-            for i in range(0, len(p), 64):
-                q = p.iloc[i : i + 64]
-                for r, d, ids in zip(q["row_id"], q["doc_id"], enc(q["text"]), strict=True):
-                    d = None if pd.isna(d) else int(d)
+            for i in range(0, b.num_rows, 64):  # so many texts are Python strings at once
+                row_id, doc_id, text = (b.column(c).slice(i, 64).to_pylist() for c in ("row_id", "doc_id", "text"))
+                for r, d, ids in zip(row_id, doc_id, enc(text), strict=True):
                     out += [(r, d, s, len(x), crc(x), len(ids)) for s in range(0, len(ids), window) for x in (ids[s : s + window],)]
-            frame = pd.DataFrame(out, columns=[c.split()[0] for c in PIECE.split(", ")])
-            yield frame.assign(doc_id=frame["doc_id"].astype("Int64"))
+            columns = list(zip(*out, strict=True)) or [()] * len(names)
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names)
 
-    return docs.mapInPandas(run, PIECE)
+    return docs.select("row_id", "doc_id", "text").mapInArrow(tidy(run), PIECE)
 
 
 def pack(docs: DataFrame, path: str | None = None, window: int = WINDOW, grid: int = GRID) -> DataFrame:
@@ -275,32 +283,34 @@ def pack(docs: DataFrame, path: str | None = None, window: int = WINDOW, grid: i
     # ranks: counts of earlier partitions, then the order inside the partition
     earlier = Window.partitionBy("cell").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     base = cells.unionByName(whole.select("part", F.lit(0).alias("cell"), "n")).withColumn("base", F.coalesce(F.sum("n").over(earlier), F.lit(0)))
-    base = base.groupBy("part").agg(F.map_from_entries(F.collect_list(F.struct("cell", "base"))).alias("base"))
-    placed = pieces.join(base, "part")
+    # one number for each row, not a part's whole table
+    cell_of = F.when(tails, F.ceil(F.col("length") / wide)).otherwise(0).cast("int")
+    placed = pieces.withColumn("cell", cell_of).join(base.select("part", "cell", "base"), ["part", "cell"])
     fixed = spark.sparkContext.broadcast(plan)
     n_whole = whole.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
 
+    kept = [c.split()[0] for c in (PIECE + ", part int, win long, slot long").split(", ")]
+
     def rank(parts):
         seen: dict[tuple[int, int], int] = {}
         p = fixed.value
         for x in parts:
-            cell = np.where(x["length"] < window, -(-x["length"].to_numpy() // wide), 0)
+            cell, base_ = x["cell"].to_numpy(), x["base"].to_numpy()
             order = np.zeros(len(x), np.int64)
             win, slot = np.full(len(x), -1, np.int64), np.zeros(len(x), np.int64)
             part = x["part"].to_numpy()
             for q in np.unique(part):
                 here = np.flatnonzero(part == q)
-                start = dict(x["base"].iloc[here[0]])
                 for c in np.unique(cell[here]):
                     at = here[cell[here] == c]
                     n = seen.get((int(q), int(c)), 0)
-                    order[at] = start[int(c)] + n + np.arange(len(at))
+                    order[at] = base_[at] + n + np.arange(len(at))
                     seen[(int(q), int(c))] = n + len(at)
                     if c:
                         win[at], slot[at] = p.place(int(c) - 1, order[at])
                     else:
                         win[at] = p.windows + order[at]
-            yield x.drop(columns=["base"]).assign(doc_id=x["doc_id"].astype("Int64"), win=win, slot=slot)
+            yield x.assign(doc_id=x["doc_id"].astype("Int64"), win=win, slot=slot)[kept]
 
     # a partition's rows stay together and in one order: dealt by part, sorted by their key
     dealt = placed.repartition("part").sortWithinPartitions("part", "row_id", "doc_id", "start")
@@ -351,7 +361,7 @@ def recut(split: DataFrame, keyed: DataFrame, path: str, window: int, edges: lis
     joined = rows.join(once, "row_id")
 
     def run(parts):
-        enc = Encoder(path)
+        enc = encoder(path)
         stops = np.array(edges, np.int64)
         for p in parts:
             out = []

@@ -3,11 +3,14 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import math
 import re
 import tempfile
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -59,6 +62,21 @@ def discard(*tables: DataFrame) -> None:
             at.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(at, True)
 
 
+def tidy(run):
+    """run, a function of an iterator of batches, that gives memory back to the system at its end:
+    Python workers live on for later stages, and what their allocators hold counts for the executor."""
+
+    def wrapped(parts):
+        try:
+            yield from run(parts)
+        finally:
+            pa.default_memory_pool().release_unused()
+            with contextlib.suppress(OSError, AttributeError):
+                ctypes.CDLL(None).malloc_trim(0)
+
+    return wrapped
+
+
 def unused(df: DataFrame, name: str) -> str:
     """name, with underscores before it while df has such a column."""
     while name.lower() in {c.lower() for c in df.columns}:

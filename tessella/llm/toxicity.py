@@ -14,6 +14,7 @@ import math
 import re
 import zlib
 from collections import Counter
+from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -22,7 +23,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import cut, unused
+from .shared import cut, tidy, unused
 
 # Letters of the model, and what a sign may stand for in a disguise.
 LETTERS = "abcdefghijklmnopqrstuvwxyzàáâãäåæçèéêëìíîïñòóôõöøùúûüýßœ"
@@ -89,7 +90,7 @@ def trigram_counts(docs: DataFrame) -> np.ndarray:
         at = np.flatnonzero(total)
         yield pd.DataFrame({"gram": at.astype(np.int32), "n": total[at]})
 
-    counts = docs.select("text").mapInPandas(run, "gram int, n long").groupBy("gram").agg(F.sum("n").alias("n"))
+    counts = docs.select("text").mapInPandas(tidy(run), "gram int, n long").groupBy("gram").agg(F.sum("n").alias("n"))
     got, out = counts.toArrow(), np.zeros(1 << 18)
     out[got.column("gram").to_numpy()] = got.column("n").to_numpy()
     return out
@@ -217,7 +218,7 @@ def counted(docs: DataFrame, restorer: np.ndarray, only=None) -> dict[str, tuple
         if all_:
             yield flush()
 
-    got = docs.select("text", "toxic").mapInPandas(run, "f string, bad long, n long").groupBy("f").agg(F.sum("bad").alias("bad"), F.sum("n").alias("n"))
+    got = docs.select("text", "toxic").mapInPandas(tidy(run), "f string, bad long, n long").groupBy("f").agg(F.sum("bad").alias("bad"), F.sum("n").alias("n"))
     # as Arrow: rows of Python objects would take many times the driver's memory
     table_ = got.where(F.col("bad") >= LEAST_COUNT).toArrow()
     out = dict(zip(table_.column("f").to_pylist(), zip(table_.column("bad").to_pylist(), table_.column("n").to_pylist(), strict=True), strict=True))
@@ -291,7 +292,7 @@ def fit(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED) ->
             found = [sorted(at[f] for f in features(r.words(t)[0]) if f in at) for t in p["text"]]
             yield pd.DataFrame({"key": p["key"].astype(object), "toxic": p["toxic"], "at": found})
 
-    got = rows.mapInPandas(active, "key string, toxic boolean, at array<int>").toArrow().sort_by("key").combine_chunks()
+    got = rows.mapInPandas(tidy(active), "key string, toxic boolean, at array<int>").toArrow().sort_by("key").combine_chunks()
     lm.destroy()
     where.destroy()
     active_at = got.column("at").combine_chunks()
@@ -305,16 +306,19 @@ def scorer(spark: SparkSession, model: Model):
     """A function of a text column to (score, n_restored)."""
     bc = spark.sparkContext.broadcast(model)
 
-    @F.pandas_udf("score double, n_restored long")
-    def scored(text: pd.Series) -> pd.DataFrame:
+    def batches(parts):
         m = bc.value
-        if "restorer" not in m.__dict__:
-            m.restorer = Restorer(m.language)
-        out = []
-        for t in text:  # one text's words at a time
-            w, n = m.restorer.words(t)
-            out.append((m.score(w), n))
-        return pd.DataFrame(out, columns=["score", "n_restored"]).astype({"score": "float64", "n_restored": "int64"})
+        restorer = Restorer(m.language)
+        for text in parts:
+            out = []
+            for t in text:  # one text's words at a time
+                w, n = restorer.words(t)
+                out.append((m.score(w), n))
+            yield pd.DataFrame(out, columns=["score", "n_restored"]).astype({"score": "float64", "n_restored": "int64"})
+
+    @F.pandas_udf("score double, n_restored long")
+    def scored(parts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        yield from tidy(batches)(parts)
 
     return scored
 
