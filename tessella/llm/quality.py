@@ -62,17 +62,16 @@ def base_counts(docs: DataFrame) -> DataFrame:
     w = words(F.col("text"))
 
     def measured(v: Column) -> Column:
-        return F.struct(F.size(v).cast("long").alias("n_words"), covered_words(v).alias("n_repeat_words"))
+        return F.struct(F.size(v).cast("long").alias("n_words"), F.length(F.array_join(v, "")).cast("long").alias("word_chars"), covered_words(v).alias("n_repeat_words"))
 
     out = docs.withColumns(
         {
             "q_w": let(w, measured),
-            "word_chars": F.length(F.translate(text, " \t\n\x0b\x0c\r", "")).cast("long"),
-            "n_symbols": (F.length(text) - F.length(F.translate(text, SYMBOLS, ""))).cast("long"),
+            "n_symbols": F.regexp_count(text, F.lit(f"[{SYMBOLS}]")).cast("long"),
             "n_dup_lines": let(lines, lambda x: F.size(x) - F.size(F.array_distinct(x))).cast("long"),
         }
     )
-    out = out.withColumns({"n_words": F.col("q_w.n_words"), "n_repeat_words": F.col("q_w.n_repeat_words")}).drop("q_w")
+    out = out.withColumns({c: F.col(f"q_w.{c}") for c in ("n_words", "word_chars", "n_repeat_words")}).drop("q_w")
     return out.withColumn("base_failed", (F.col("n_words") < 20) | (F.col("n_repeat_words") * 100 > F.col("n_words") * 30))
 
 
