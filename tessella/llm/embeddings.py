@@ -15,6 +15,8 @@ vector carries the list of its leaves, so a leaf can tell.
 
 from __future__ import annotations
 
+import functools
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -28,8 +30,9 @@ TREES = 4
 SPILL = 0.02
 #: Vectors that the trees are fitted on, at most; and sample vectors in a leaf, at most.
 SAMPLE, LEAF = 20_000, 100
-#: Vectors of one leaf that a task holds at once from either side.
-BLOCK = 1_200
+#: Vectors of one leaf that a task holds at once from either side: so many bytes of them in double
+#: precision, but BLOCK vectors at least. Every vector is sent once to each pair of blocks it is in.
+BLOCK, BLOCK_BYTES = 1_200, 5 << 20
 #: Vectors of a leaf above which it is split again, by the median of all its vectors, and
 #: bytes of the sample in double precision, at most.
 MAX_LEAF, SAMPLE_BYTES = 20_000, 64 << 20
@@ -38,6 +41,8 @@ LEAST_GAIN = 0.9
 COSINE = 0.95
 #: Vectors routed at once by a task.
 ROUTED = 500
+#: Pairs of a block's part up to which they are judged one by one.
+FEW_HITS = 20_000
 
 
 def padded(vectors, dims: int | None = None) -> tuple[np.ndarray, np.ndarray]:
@@ -203,20 +208,20 @@ def refined(table: DataFrame, dims: int, max_leaf: int, spill: float) -> DataFra
     return work.drop("leaves").join(own, "v_id").select(*columns)
 
 
-def shares_earlier(a: list, b: list, leaf: int, codes: dict) -> tuple[np.ndarray, np.ndarray]:
-    """Indicator matrices of the earlier leaves of two lists of vectors."""
-    out = []
-    for rows in (a, b):
-        m = np.zeros((len(rows), len(codes)), np.float32)
-        for i, x in enumerate(rows):
-            for c in x:
-                if c >= leaf:
-                    break
-                k = codes.get(c)
-                if k is not None:
-                    m[i, k] = 1
-        out.append(m)
-    return out[0], out[1]
+def met_before(left: list, right: list, leaf: int) -> np.ndarray:
+    """Which vectors of two lists (of each vector's leaves) share a leaf earlier than leaf."""
+    sets = [{int(c) for x in rows for c in x if c < leaf} for rows in (left, right)]
+    codes, out = sorted(sets[0] & sets[1]), np.zeros((len(left), len(right)), bool)
+    for s in range(0, len(codes), 1000):
+        at = {c: k for k, c in enumerate(codes[s : s + 1000])}
+        marks = []
+        for rows in (left, right):
+            m = np.zeros((len(rows), len(at)), np.float32)
+            for i, x in enumerate(rows):
+                m[i, [at[c] for c in x if c in at]] = 1
+            marks.append(m)
+        out |= marks[0] @ marks[1].T > 0
+    return out
 
 
 def components(n: int, ends: np.ndarray) -> np.ndarray:
@@ -237,11 +242,11 @@ def components(n: int, ends: np.ndarray) -> np.ndarray:
         label = new
 
 
-def linked(table: DataFrame, cosine: float) -> DataFrame:
+def linked(table: DataFrame, cosine: float, dims: int) -> DataFrame:
     """(v_id, n, low) from each pair of blocks of each leaf: the copies linked there
     first, and the least id of its component there."""
     size = table.groupBy("leaf").agg(F.count(F.lit(1)).alias("size"))
-    blocks = F.ceil(F.col("size") / BLOCK).cast("int")
+    blocks = F.ceil(F.col("size") / max(BLOCK, BLOCK_BYTES // (8 * dims))).cast("int")
     t = table.join(size, "leaf").withColumn("blocks", blocks).withColumn("mine", F.pmod(F.xxhash64("v_id"), "blocks").cast("int"))
     t = t.select("*", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
     t = t.select("leaf", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), "mine", "v_id", "copies", "v", "leaves")
@@ -257,23 +262,36 @@ def linked(table: DataFrame, cosine: float) -> DataFrame:
         x, y, nx, ny = both[: len(left)], both[len(left) :], lengths[: len(left)], lengths[len(left) :]
         ragged = (lengths != lengths[0]).any()
         lists = (left["leaves"].tolist(), right["leaves"].tolist())
-        codes = {c: k for k, c in enumerate(sorted({int(c) for rows in lists for r in rows for c in r if c < leaf}))}
-        ex, ey = shares_earlier(*lists, leaf, codes)
+        earlier = functools.cache(lambda side, k: frozenset(c for c in lists[side][k] if c < leaf))
         ids = np.concatenate([left["v_id"].to_numpy(), right["v_id"].to_numpy() if i != j else []]).astype(np.int64)
         copies = np.concatenate([left["copies"].to_numpy(), right["copies"].to_numpy() if i != j else []]).astype(np.int64)
         shift = len(left) if i != j else 0
-        n, ends = np.zeros(len(ids), np.int64), []
+        n, ends = np.zeros(len(ids), np.int64), [np.zeros((2, 0), np.int32)]
+        x4, y4 = x.astype(np.float32), y.astype(np.float32).T
+        # single precision is off by less than this, so it only spares pairs that can't be linked
+        slack = 1e-6 + 2.5e-7 * x.shape[1]
         for s in range(0, len(x), 512):
-            hit = x[s : s + 512] @ y.T >= cosine
-            hit &= ids[s : s + 512, None] != ids[None, shift : shift + len(y)]
+            off = 0 if shift else s  # pairs of one block are met once
+            r, c = np.nonzero(x4[s : s + 512] @ y4[:, off:] >= cosine - slack)
+            if len(r) <= FEW_HITS:
+                good = np.einsum("ij,ij->i", x[s + r], y[off + c]) >= cosine
+                r, c = r[good], c[good]
+            else:
+                r, c = np.nonzero(x[s : s + 512] @ y[off:].T >= cosine)
+            r, c = r + s, c + off
+            good = ids[r] != ids[shift + c] if shift else r < c
             if ragged:
-                hit &= nx[s : s + 512, None] == ny[None]
-            new = hit & (ex[s : s + 512] @ ey.T == 0) if codes else hit
-            n[s : s + len(hit)] += new @ copies[shift : shift + len(y)]
-            if shift:
-                n[shift:] += copies[s : s + len(hit)] @ new
-            r, c = np.nonzero(hit)
-            ends.append(np.stack([r + s, c + shift]).astype(np.int32))
+                good &= nx[r] == ny[c]
+            r, c = r[good], c[good]
+            if not len(r):
+                continue
+            ends.append(np.stack([r, c + shift]).astype(np.int32))
+            if len(r) <= FEW_HITS:
+                new = np.fromiter((earlier(0, p).isdisjoint(earlier(1, q)) for p, q in zip(r.tolist(), c.tolist(), strict=True)), bool, len(r))
+            else:
+                new = ~met_before(lists[0][s : s + 512], lists[1], leaf)[r - s, c]
+            r, c = r[new], c[new] + shift
+            n += np.bincount(r, copies[c], len(n)).astype(np.int64) + np.bincount(c, copies[r], len(n)).astype(np.int64)
         low = components(len(ids), np.concatenate(ends, axis=1))
         got = np.flatnonzero((n > 0) | (low < np.arange(len(ids))) | np.isin(np.arange(len(ids)), low[low < np.arange(len(ids))]))
         return pd.DataFrame({"v_id": ids[got], "n": n[got], "low": ids[low[got]]})
@@ -306,7 +324,7 @@ def near_duplicate_vectors(table: DataFrame, cosine: float = COSINE, max_leaf: i
     else:
         leaves = cut(routed(classes.drop("low"), forest))
         dims = classes.agg(F.max(F.size("v"))).first()[0]
-        found = cut(linked(refined(leaves, dims, max_leaf, spill), cosine))
+        found = cut(linked(refined(leaves, dims, max_leaf, spill), cosine, dims))
         discard(leaves)
     per = cut(found.groupBy("v_id").agg(F.sum("n").alias("n")))
     edges = found.where("v_id <> low").select(F.col("v_id").alias("a"), F.col("low").alias("b"))

@@ -402,6 +402,21 @@ def test_vectors_recall(spark, n, max_leaf):
             assert have[j] != 1 or got[i].component_id == min(i, j)
 
 
+@pytest.mark.parametrize("few", [0, embeddings.FEW_HITS])
+def test_vectors_blocks(spark, monkeypatch, few):
+    """A leaf of several blocks, whose pairs are judged one by one or together, gives the links of brute force."""
+    monkeypatch.setattr(embeddings, "BLOCK", 30)
+    monkeypatch.setattr(embeddings, "BLOCK_BYTES", 0)
+    monkeypatch.setattr(embeddings, "FEW_HITS", few)
+    v = planted(200, 64)
+    links = (v @ v.T >= 0.95).sum(1) - 1
+    d = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate([*v, v[3]])], "vec_id long, embedding array<double>")
+    got = {r.vec_id: r for r in embeddings.near_duplicate_vectors(d, leaf=1000, trees=2).collect()}
+    near = v @ v[3] >= 0.95
+    assert [got[i].n_links for i in range(len(v))] == (links + near).tolist() and links.sum() >= 100
+    assert [got[i].component_id for i in range(200, 250)] == list(range(0, 200, 4))
+
+
 def test_vectors_odd(spark):
     a, b = [1.0, 2.0, 3.0], [1.0, 2.0, 3.0, 0.0]
     rows = [(1, a), (1, None), (2, a), (2, [0.0, 0.0, 0.0]), (3, b), (4, b), (5, []), (None, a), (6, [float("inf"), 1.0]), (7, [1.0, 2.0, 3.001])]
