@@ -276,7 +276,8 @@ def test_retrieval_moves_no_pairs_of_terms(spark):
     assert "FlatMapCoGroupsInPandas" in plan and "sum((w" not in plan
 
 
-def test_retrieval_moves_packed_records(spark, monkeypatch, tmp_path):
+@pytest.mark.parametrize("find", [B.char_retrieval, B.legacy_neighbours, lambda q, t: B.char_retrieval(q, t, reverse=1)])
+def test_retrieval_moves_packed_records(spark, monkeypatch, tmp_path, find):
     """A record takes few bytes of disk: its terms are written once for its piece, and its vector once for all routes."""
     rng = np.random.default_rng(8)
     words = ["".join(rng.choice(list("abcdefghijklmnop"), 8)) for _ in range(300)]
@@ -291,7 +292,7 @@ def test_retrieval_moves_packed_records(spark, monkeypatch, tmp_path):
         return df.sparkSession.read.parquet(str(paths[-1]))
 
     monkeypatch.setattr(B, "landed", landed)
-    assert B.char_retrieval(q, t).count() > 40
+    assert find(q, t).count() > 40
     assert sum(f.stat().st_size for p in paths for f in p.glob("*.parquet")) < 400 * 4000
 
 
