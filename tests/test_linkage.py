@@ -254,6 +254,17 @@ def test_models_travel_without_the_session(spark, kind):
     assert len(L.score(L.train(f, kind, ["x"]), f).collect()) == 60
 
 
+def test_out_of_fold_travels_without_the_session(spark):
+    """Every pair is scored once, after an observation too, by the model that has not seen its fold."""
+    spark.range(3).observe(Observation(), F.count(F.lit(1)).alias("n")).collect()
+    f = spark.range(60).select(F.col("id").cast("string").alias("s1_id"), F.col("id").cast("string").alias("cand_id"), (F.col("id") % 7).cast("double").alias("x"), (F.col("id") % 3 == 0).cast("int").alias("label"))
+    folds = f.select(F.col("s1_id").alias("entity_id"), (F.col("s1_id").cast("int") % 2).alias("fold"))
+    d = f.join(folds.withColumnRenamed("entity_id", "s1_id"), "s1_id")
+    want = set().union(*(rows(L.score(L.train(d.where(F.col("fold") != i), "lr", ["x"]), d.where(F.col("fold") == i))) for i in (0, 1)))
+    got = L.out_of_fold(f, folds, "lr", ["x"], 2).collect()
+    assert len(got) == 60 and {tuple(r) for r in got} == want
+
+
 def test_best_of_a_block():
     """Frequent and rare terms, ties and unknown terms, against all products; only k rows leave a block for each query."""
     rng = np.random.default_rng(5)
